@@ -92,7 +92,7 @@ def repeated_lines(text: bytes) -> int:
     return n
 
 
-def repetition_rules(docs: DataFrame, least_words: int = 50, most_repeat_share: float = 0.5, least_repeat: int = 8, most_covered: float = 0.3, most_longest: int = 200) -> DataFrame:
+def repetition_rules(docs: DataFrame, least_words: int = 50, most_repeat_share: float = 0.5, least_repeat: int = 10, most_covered: float = 0.5, most_longest: int = 200) -> DataFrame:
     """Base measures and the verdict on repeated substrings of each text.
 
     ``docs`` has doc_id and text; nothing else is read. Returns a row for each input row: doc_id, n_words,
