@@ -92,7 +92,7 @@ def repeated_lines(text: bytes) -> int:
     return n
 
 
-def repetition_rules(docs: DataFrame, least_words: int = 50, most_repeat_share: float = 0.5, least_repeat: int = 10, most_covered: float = 0.5, most_longest: int = 200) -> DataFrame:
+def repetition_rules(docs: DataFrame, least_words: int = 50, most_repeat_share: float = 0.5, least_repeat: int = 10, most_covered: float = 0.5, most_longest: int = 200, carry: tuple[str, ...] = ()) -> DataFrame:
     """Base measures and the verdict on repeated substrings of each text.
 
     ``docs`` has doc_id and text; nothing else is read. Returns a row for each input row: doc_id, n_words,
@@ -103,7 +103,7 @@ def repetition_rules(docs: DataFrame, least_words: int = 50, most_repeat_share:
     A text fails the base with fewer than ``least_words`` words, or when more than ``most_repeat_share`` of them
     are repeat words. Else it is kept if repeats cover ``most_covered`` of its words at most and none is longer
     than ``most_longest``. Null and empty texts have no words and fail. Rows that share an id are judged each on
-    its own. Texts of any length are judged whole.
+    its own. Texts of any length are judged whole. Columns named in ``carry`` come along in a struct, ``row``.
     """
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +134,11 @@ def repetition_rules(docs: DataFrame, least_words: int = 50, most_repeat_share:
             spans = pa.StructArray.from_arrays([pa.array(starts - offsets[whose]), pa.array(stops - offsets[whose])], names=["start", "stop"])
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(whose, np.arange(len(n) + 1)).astype(np.int32)), spans)
             columns = [part.column("doc_id"), n, chars, [len(t) - len(t.translate(None, SYMBOLS)) for t in texts], [repeated_lines(t) for t in texts], repeat_words, failed, kept, covered, longest, lists]
-            yield pa.record_batch([x if isinstance(x, pa.Array) else pa.array(x, t) for x, (_, _, t) in zip(columns, FIELDS, strict=True)], names=[f[0] for f in FIELDS])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(judge, ", ".join(f"{name} {kind}" for name, kind, _ in FIELDS))
+            made = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, (_, _, t) in zip(columns, FIELDS, strict=True)]
+            if carry:
+                made.append(part.column("row"))
+            yield pa.record_batch(made, names=[f[0] for f in FIELDS] + ["row"] * bool(carry))
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.struct(*carry).alias("row")] * bool(carry))
+    row = f", row {rows.schema['row'].dataType.simpleString()}" if carry else ""
+    return rows.mapInArrow(judge, ", ".join(f"{name} {kind}" for name, kind, _ in FIELDS) + row)
