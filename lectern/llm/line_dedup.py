@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.base import PARTIAL, Bits, id_key, merged_filter, n_chunks, partial_sketch, power_of_2, raw, slices
+from lectern.llm.base import PARTIAL, Bits, cut, id_key, merged_filter, n_chunks, partial_sketch, power_of_2, raw, slices
 
 SPACE = b" \t\n\x0b\x0c\r"
 #: A task sends on its part of the sketch after so many hashes at the latest.
@@ -97,7 +97,8 @@ def drop_repeated_lines(docs: DataFrame, least_chars: int = 20, least_docs: int
                 yield pa.record_batch([pa.array(high[maybe].view(np.int64)), pa.array(low[maybe].view(np.int64)), pa.array(np.array(owners, np.int64)[maybe])], names=["high", "low", "key"])
 
     found = rows.select("key", "text").mapInArrow(places, "high long, low long, key long")
-    confirmed = found.groupBy("high", "low").agg(F.count("*").alias("n"), F.max("key").alias("keeper")).filter(F.col("n") >= least_docs)
+    # Cut off, so that the join below is one of two plain shuffles, and a line that is everywhere is split by adaptive execution.
+    confirmed = cut(found.groupBy("high", "low").agg(F.count("*").alias("n"), F.max("key").alias("keeper")).filter(F.col("n") >= least_docs))
     lost = found.join(confirmed, ["high", "low"]).filter(F.col("key") < F.col("keeper")).select("key", "high", "low")
     lost = lost.groupBy("key").agg(F.collect_set(F.struct("high", "low")).alias("lost"))
     joined = rows.join(lost, "key", "left").select("doc_id", "text", "lost")
