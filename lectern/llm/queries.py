@@ -15,7 +15,7 @@ from lectern.llm.quality import quality_scores
 from lectern.llm.repetition import repetition_rules
 from lectern.llm.substring_dedup import drop_repeated_substrings
 from lectern.llm.token_store import read_digests, token_table, write_tokens
-from lectern.llm.url_filter import RULES, judge_urls
+from lectern.llm.url_filter import judge_urls
 
 #: Rules that the URL query applies.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -56,7 +56,7 @@ def op5_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, RULES))
+    return judge_urls(table(spark, sf_dir, "pages"), spark.sql("SELECT * FROM VALUES " + ", ".join(map(str, URL_RULES)) + " AS t(host, path, verdict)"))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
