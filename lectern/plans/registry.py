@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
+from lectern.plans import retrieval
 
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+Query = Callable[[SparkSession, str], DataFrame]
+AREAS = (retrieval,)
+QUERIES: dict[str, Query] = {name: query for area in AREAS for name, query in area.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for area in AREAS for name, sql in area.ORACLE_SQL.items()}
+FLAGSHIP: Query = retrieval.hybrid_page
