@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.plans import retrieval
+from lectern.plans import documents, retrieval, trust
 
 Query = Callable[[SparkSession, str], DataFrame]
-AREAS = (retrieval,)
+AREAS = (retrieval, documents, trust)
 QUERIES: dict[str, Query] = {name: query for area in AREAS for name, query in area.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for area in AREAS for name, sql in area.ORACLE_SQL.items()}
 FLAGSHIP: Query = retrieval.hybrid_page

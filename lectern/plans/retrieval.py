@@ -10,25 +10,13 @@ from lectern.functions import text as X
 from lectern.operators import keyword as K
 from lectern.operators import vector as N
 from lectern.plans.corpus import PASSAGES_SQL, QUESTIONS_SQL, SECTIONS_SQL, passages, questions, sections, table
+from lectern.plans.registering import area
 from lectern.schema import STOPWORDS
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
+QUERIES, ORACLE_SQL, query = area()
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 _PUNCT = r"""["''()\[\]{}<>?!.,;:]+"""
-TOK = f"regexp_extract_all(translate(lower(coalesce({{}}, '')), '{X.ACCENTED}', '{X.PLAIN}'), '[\\p{{{{L}}}}\\p{{{{N}}}}]+')"
 
 
 def _tok(x: str) -> str:
@@ -139,9 +127,6 @@ def bm25_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.with_ties(K.bm25(own, asked), 5).select("query_id", "section_id", "score")
 
 
-_LIT = "www"
-
-
 @query(r"""WITH hits AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
   regexp_matches(url, '(^|[^A-Za-z0-9_\-])example\.com([^A-Za-z0-9_\-.]|\.($|[^A-Za-z0-9_])|$)', 'i') AS loose, regexp_matches(url, '(^|[^A-Za-z0-9_\-])example\.com([^A-Za-z0-9_\-.]|\.($|[^A-Za-z0-9_])|$)') AS exact FROM pages)
 SELECT page_id, loose, exact FROM hits WHERE loose""")
