@@ -84,7 +84,7 @@ def bootstrap_ratio(clusters: DataFrame, rounds: int, seed: int = 1) -> DataFram
     turns = clusters.sparkSession.range(rounds).select(F.col("id").alias("round")).crossJoin(n).select("round", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("turn"))  # rounds and a count, not clusters
     state = (F.col("round") * 7919 + F.col("turn") * 104729 + seed) % 2147483647
     drawn = turns.select("round", ((state * 48271 + 11) % 2147483647 % F.col("n")).alias("place"))
-    return drawn.join(clusters, "place").groupBy("round").agg(F.round(F.sum("top") / F.sum("bottom"), 6).alias("ratio"))
+    return drawn.join(clusters, "place").groupBy("round").agg((F.sum("top") / F.sum("bottom")).alias("ratio"))
 
 
 def churn(old: DataFrame, new: DataFrame) -> DataFrame:
