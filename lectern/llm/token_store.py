@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,10 +35,10 @@ from lectern.llm.base import shared_dir, slices
 
 SHARD_TOKENS = 1 << 20
 #: Rounds of counting and replacing; each makes so many rules at most, of pairs found so often at least.
-ROUNDS, RULES_A_ROUND, LEAST_COUNT = 5, 3000, 16
+ROUNDS, RULES_A_ROUND, LEAST_COUNT = 4, 3000, 16
 SYMBOLS = 1 << 16
 #: Words whose ids a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 2_000_000
 #: White space in the widest sense, two in a row or at an end: the words of such texts are not encoded one by one.
 SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 APART = rf"{SPACE}{SPACE}|\A{SPACE}|{SPACE}\z"
@@ -70,35 +71,48 @@ class Encoder:
         # In a byte-level vocabulary U+0120 stands for a space.
         self.leads = np.zeros(self.size, bool)
         self.leads[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        # Words met, as ascending digests with places in a stream of ids.
+        self.digests, self.at, self.n, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.uint16)
 
     def plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words led by a space, one after another, and where each word's begin (one more place at the end)."""
+        text = "\n".join(words)
+        if "\x00" in text or any(a in text for a in self.added):
+            each = self.plain([" " + w for w in words])
+            return np.concatenate(each).astype(np.uint16), np.concatenate(([0], np.cumsum([len(x) for x in each])))
         ids = self.plain([" " + " ".join(words)])[0]
         starts = np.flatnonzero(self.leads[ids])
         if len(starts) != len(words):
             raise RuntimeError("a word's ids do not begin with a space")
-        data, ends = ids.astype("<u2").tobytes(), np.append(starts[1:], len(ids))
-        for word, a, b in zip(words, (starts * 2).tolist(), (ends * 2).tolist(), strict=True):
-            self.known[word] = data[a:b]
-
-    def of_words(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words, each led by a space. What two generations of batches have met is remembered."""
-        if len(self.known) > REMEMBERED:
-            self.older, self.known = self.known, {}
-        new = []
-        for word in words:
-            if word not in self.known:
-                if (ids := self.older.get(word)) is None:
-                    new.append(word)
-                else:
-                    self.known[word] = ids
-        if new:
-            self.learn(new)
-        return list(map(self.known.__getitem__, words))
+        return ids.astype(np.uint16), np.append(starts, len(ids))
+
+    def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A stream of ids, and each distinct word's place and number of ids in it. What was met before is remembered."""
+        digests = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        place = np.searchsorted(self.digests, digests)
+        place[place == len(self.digests)] = 0
+        known = self.digests[place] == digests if len(self.digests) else np.zeros(len(words), bool)
+        at, n = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        at[known], n[known] = self.at[place[known]], self.n[place[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            ids, bounds = self.learn([words[i] for i in new.tolist()])
+            at[new], n[new] = bounds[:-1] + len(self.ids), np.diff(bounds)
+            self.ids = np.concatenate((self.ids, ids))
+            if len(self.digests) + len(new) <= REMEMBERED:
+                both = np.concatenate((self.digests, digests[new]))
+                order = np.argsort(both, kind="stable")
+                self.digests = both[order]
+                self.at = np.concatenate((self.at, at[new].astype(np.uint32)))[order]
+                self.n = np.concatenate((self.n, n[new].astype(np.uint32)))[order]
+        return self.ids, at, n
+
+    def settle(self) -> None:
+        """Forget ids of words that are not remembered."""
+        self.ids = self.ids[: int((self.at + self.n).max(initial=0))]
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text; none of a null."""
@@ -119,9 +133,7 @@ class Encoder:
         words = split.flatten()
         firsts = self.plain(words.filter(pa.array(leading)).to_pylist())
         coded = words.filter(pa.array(~leading)).dictionary_encode()
-        ids = self.of_words(coded.dictionary.to_pylist())
-        n = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
-        flat, at = np.frombuffer(b"".join(ids), "<u2"), np.cumsum(n) - n
+        flat, at, n = self.of_words(coded.dictionary.to_pylist())
         codes = np.asarray(coded.indices)
         n, at = n[codes], at[codes]
         ends = np.cumsum(n)
@@ -129,6 +141,7 @@ class Encoder:
         bounds = np.concatenate(([0], ends))[starts - np.arange(len(starts))].tolist()
         for i, first, lo, hi in zip(np.flatnonzero(~apart).tolist(), firsts, bounds[:-1], bounds[1:], strict=True):
             out[i] = np.concatenate((first.astype(np.uint16), stream[lo:hi]))
+        self.settle()
         return out
 
 
@@ -162,14 +175,17 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, rounds: int = R
             best = np.lexsort((found, -counts[often]))[:most]
             found = found[best]
         found = np.sort(found)
-        # Left symbols of chosen pairs first, for most positions end there.
-        maybe = np.zeros(SYMBOLS, bool)
-        maybe[found >> np.uint32(16)] = True
-        at = np.flatnonzero(maybe[symbols[:-1]] & ~last[:-1])
-        rule = np.searchsorted(found, pairs[at])
-        rule[rule == len(found)] = 0
-        hit = found[rule] == pairs[at]
-        at, rule = at[hit], rule[hit]
+        # Rules by the number of the left and of the right symbol among those of chosen pairs; 0 for none.
+        left, right = found >> np.uint32(16), found & np.uint32(0xFFFF)
+        row, column = np.zeros(SYMBOLS, np.int32), np.zeros(SYMBOLS, np.int32)
+        lefts, rights = np.unique(left), np.unique(right)
+        row[lefts], column[rights] = np.arange(1, len(lefts) + 1) * (len(rights) + 1), np.arange(1, len(rights) + 1)
+        grid = np.zeros((len(lefts) + 1) * (len(rights) + 1), np.uint16)
+        grid[row[left] + column[right]] = np.arange(1, len(found) + 1)
+        rule = grid[row[symbols[:-1]] + column[symbols[1:]]]
+        rule[last[:-1]] = 0
+        at = np.flatnonzero(rule)
+        rule = rule[at].astype(np.int64) - 1
         run = np.concatenate(([True], np.diff(at) > 1))
         order = np.arange(len(at))
         keep = (order - np.maximum.accumulate(np.where(run, order, 0))) % 2 == 0
