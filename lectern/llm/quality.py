@@ -149,5 +149,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", f
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("label")).filter(rest != 0).filter(F.col("label").isin(0, 1))
     known = cut(known.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    weights = train(texts.join(known, "doc_id"), most)
+    # The sample has ``most`` rows of two numbers at most, so it may go to all executors.
+    weights = train(texts.join(F.broadcast(known), "doc_id"), most)
     return score(docs, weights, threshold).select("doc_id", F.coalesce(rest == 0, F.lit(False)).alias("held_out"), "score", "predicted")
