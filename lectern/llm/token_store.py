@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,20 @@ REMEMBERED = 2_000_000
 #: White space in the widest sense, two in a row or at an end: the words of such texts are not encoded one by one.
 SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 APART = rf"{SPACE}{SPACE}|\A{SPACE}|{SPACE}\z"
+# The pieces that byte-level BPE cuts a text into before it merges.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: The last character of the scripts that are spelled here, and what stands between pieces meanwhile.
+SPELLED, BETWEEN = 0x24F, "\uffff"
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """Characters that stand for bytes: printable ones for themselves, others from U+0100 on in their order."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in printable else next(rest)) for b in range(256)}
+
+
+SPELLING = {c: "".join(map(_byte_alphabet().__getitem__, chr(c).encode())) for c in range(SPELLED + 1)} | {ord(BETWEEN): " "}
 SHARDS = "part int, seq int, docs array<long>, starts array<int>, counts array<int>, rules binary, spans binary, symbols binary, first_rule int"
 ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("docs", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("rules", pa.binary()), ("spans", pa.binary()), ("symbols", pa.binary()), ("first_rule", pa.int32())])
 
@@ -59,6 +74,7 @@ class Encoder:
         import json
 
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
@@ -71,6 +87,9 @@ class Encoder:
         # In a byte-level vocabulary U+0120 stands for a space.
         self.leads = np.zeros(self.size, bool)
         self.leads[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
+        # The model alone, for text that is cut into pieces and spelled in the byte-level alphabet before.
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = CharDelimiterSplit(" ")
         # Words met, as ascending digests with places in a stream of ids.
         self.digests, self.at, self.n, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.uint16)
 
@@ -83,7 +102,11 @@ class Encoder:
         if "\x00" in text or any(a in text for a in self.added):
             each = self.plain([" " + w for w in words])
             return np.concatenate(each).astype(np.uint16), np.concatenate(([0], np.cumsum([len(x) for x in each])))
-        ids = self.plain([" " + " ".join(words)])[0]
+        text = " " + " ".join(words)
+        if max(text) <= chr(SPELLED):
+            ids = np.array(self.model.encode_batch_fast([BETWEEN.join(PIECES.findall(text)).translate(SPELLING)], add_special_tokens=False)[0].ids, np.uint32)
+        else:
+            ids = self.plain([text])[0]
         starts = np.flatnonzero(self.leads[ids])
         if len(starts) != len(words):
             raise RuntimeError("a word's ids do not begin with a space")
@@ -99,7 +122,13 @@ class Encoder:
         at[known], n[known] = self.at[place[known]], self.n[place[known]]
         new = np.flatnonzero(~known)
         if len(new):
-            ids, bounds = self.learn([words[i] for i in new.tolist()])
+            # Common scripts are spelled here, others by the library: words of either kind are learnt together.
+            order = np.fromiter((max(words[i], default="") > chr(SPELLED) for i in new.tolist()), bool, len(new))
+            new = np.concatenate((new[~order], new[order]))
+            cut = int((~order).sum())
+            parts = [self.learn([words[i] for i in own.tolist()]) for own in (new[:cut], new[cut:]) if len(own)]
+            ids = np.concatenate([x for x, _ in parts])
+            bounds = np.concatenate([parts[0][1], *[b[1:] + len(parts[0][0]) for _, b in parts[1:]]])
             at[new], n[new] = bounds[:-1] + len(self.ids), np.diff(bounds)
             self.ids = np.concatenate((self.ids, ids))
             if len(self.digests) + len(new) <= REMEMBERED:
@@ -145,6 +174,16 @@ class Encoder:
         return out
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """A worker's encoder of a file, which keeps the words it has met from one task to the next."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair: (symbols, symbols up to each document's end, rules, ids that each rule expands to).
 
@@ -255,7 +294,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | Callable[[], str],
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = Encoder(tokenizer() if callable(tokenizer) else tokenizer)
+        encoder = encoder_of(tokenizer() if callable(tokenizer) else tokenizer)
         if encoder.size >= SYMBOLS:
             raise ValueError("the vocabulary leaves no room for rules")
         part, seq, held, ids, n = TaskContext.get().partitionId(), 0, [], [], 0
