@@ -22,7 +22,7 @@ def hashed_embeddings(texts: DataFrame, dim: int = 64) -> DataFrame:
     axes = F.sequence(F.lit(0), F.lit(dim - 1))
     vector = F.transform(axes, lambda i: F.coalesce(F.element_at("counts", i), F.lit(0.0)) / F.col("norm"))
     first = F.transform(axes, lambda i: F.when(i == 0, 1.0).otherwise(0.0))
-    return texts.select("owner_id").join(held, "owner_id", "left").select("owner_id", F.coalesce(vector, first).alias("embedding"))
+    return texts.select("owner_id").join(held, "owner_id", "left").select("owner_id", F.when(F.col("counts").isNull(), first).otherwise(vector).alias("embedding"))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:

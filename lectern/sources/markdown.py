@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.text import is_excluded, is_pruned, walk_key
-from lectern.schema import MAX_FILE_BYTES, SUFFIXES
+from lectern.schema import MAX_FILE_BYTES, PRUNED, SUFFIXES
 
 PARSED = "doc_id long, file_path string, title string, error string, sections array<struct<title:string,level:int,heading_path:string,base_path:string,content:string,start_line:int,end_line:int,part:int,passages:array<struct<text:string,line0:int,line1:int,table_line:int,list0:int,list1:int>>>>"
 
@@ -20,6 +20,24 @@ def is_markdown(path: Column) -> Column:
     return F.lower(F.concat(F.lit("."), F.substring_index(path, ".", -1))).isin(*SUFFIXES)
 
 
+def dotted_files(spark: SparkSession, root: str) -> list[str]:
+    """Files in folders, or of names, that begin with a dot or underscore, which Spark's own listing leaves out."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, todo = [], [(path, False)]
+    while todo:
+        folder, dotted = todo.pop()
+        for status in files.listStatus(folder):
+            name = status.getPath().getName()
+            hidden = dotted or name[:1] in "._"
+            if status.isDirectory():
+                if name not in PRUNED and not status.isSymlink():
+                    todo.append((status.getPath(), hidden))
+            elif hidden and name.lower().endswith(SUFFIXES):
+                found.append(status.getPath().toString())
+    return sorted(found)
+
+
 def scan(spark: SparkSession, root: str, exclude: list[str] | None = None) -> DataFrame:
     """(file_path, content_hash, mtime, length, text) of the Markdown files below a folder of any file system.
 
@@ -27,6 +45,8 @@ def scan(spark: SparkSession, root: str, exclude: list[str] | None = None) -> Da
     are no UTF-8 are replaced. Paths are relative to ``root``; ``walk_key`` sorts them as a walk meets them.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    if dotted := dotted_files(spark, root):
+        files = files.unionByName(spark.read.format("binaryFile").load(dotted))
     base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
     path = F.regexp_replace(F.regexp_replace("path", r"^[A-Za-z]+:/*", ""), f"^{base}/", "")
     found = files.filter(F.col("length") <= MAX_FILE_BYTES).withColumn("file_path", path)

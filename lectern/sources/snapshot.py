@@ -37,7 +37,9 @@ class Index:
         """What the pointer says: snapshot, schema, generation and the run's own notes."""
         if not self._fs.exists(self._path(POINTER)):
             return None
-        found = json.loads("".join(r["value"] for r in self.spark.read.text(f"{self.root}/{POINTER}").collect()))
+        stream = self._fs.open(self._path(POINTER))
+        found = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        stream.close()
         if found["schema"] > SCHEMA_VERSION:
             raise NewerSchema(f"schema {found['schema']} is newer than {SCHEMA_VERSION}")
         return found
@@ -57,7 +59,9 @@ class Index:
         stream = self._fs.create(pending)
         stream.write(bytearray(json.dumps(made).encode()))
         stream.close()
-        if self._fs.exists(self._path(POINTER)):
-            self._fs.delete(self._path(POINTER), False)
-        self._fs.rename(pending, self._path(POINTER))
+        hadoop, gateway = self.spark._jvm.org.apache.hadoop.fs, self.spark.sparkContext._gateway
+        rename = getattr(hadoop, "Options$Rename")
+        how = gateway.new_array(rename, 1)
+        how[0] = rename.valueOf("OVERWRITE")
+        hadoop.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(pending, self._path(POINTER), how)
         return made
