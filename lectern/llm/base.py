@@ -17,7 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A slice of rows that one vectorised step works on holds about so many bytes of text.
 SLICE_BYTES = 4 << 20
 #: Words that a worker remembers the hash of.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 250_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,6 +62,18 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
             start = stop
 
 
+def list_slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 400_000) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows with about ``most`` items in a list column; a longer list stands alone."""
+    for batch in batches:
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(batch.column(column)), 0), np.int64))
+        start = 0
+        while start < batch.num_rows:
+            base = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def raw(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column."""
     if isinstance(column, pa.ChunkedArray):
