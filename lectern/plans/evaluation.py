@@ -74,14 +74,14 @@ def wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COMB = "list_sum(list_transform(range({lo}, {hi} + 1), lambda k: exp(lgamma(n + 1.0) - lgamma(k + 1.0) - lgamma(n - k + 1.0) - n * ln(2.0))))"
 
 
-@query(f"WITH {_WINS}, x AS (SELECT *, wins + losses AS n FROM wins) SELECT stratum, wins, losses, round(CASE WHEN n = 0 THEN 1 ELSE least(1.0, 2 * {_COMB.format(lo='0', hi='least(wins, losses)')}) END, 6) AS p FROM x")
+@query(f"WITH {_WINS}, x AS (SELECT *, wins + losses AS n FROM wins) SELECT stratum, wins, losses, round(CASE WHEN n = 0 THEN 1 ELSE least(1.0, 2 * {_COMB.format(lo='0', hi='least(wins, losses)')}) END + 1e-10, 6) AS p FROM x")
 def mcnemar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wins(spark, sf_dir).select("stratum", "wins", "losses", F.round(E.tail_column(F.col("wins").cast("int"), F.col("losses").cast("int"), True), 6).alias("p"))
+    return wins(spark, sf_dir).select("stratum", "wins", "losses", F.round(E.tail_column(F.col("wins").cast("int"), F.col("losses").cast("int"), True) + 1e-10, 6).alias("p"))
 
 
-@query(f"WITH {_WINS}, x AS (SELECT *, wins + losses AS n FROM wins) SELECT stratum, round(CASE WHEN n = 0 THEN 1 ELSE least(1.0, {_COMB.format(lo='wins', hi='n')}) END, 6) AS p FROM x")
+@query(f"WITH {_WINS}, x AS (SELECT *, wins + losses AS n FROM wins) SELECT stratum, round(CASE WHEN n = 0 THEN 1 ELSE least(1.0, {_COMB.format(lo='wins', hi='n')}) END + 1e-10, 6) AS p FROM x")
 def sign_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wins(spark, sf_dir).select("stratum", F.round(E.tail_column(F.col("wins").cast("int"), F.col("losses").cast("int"), False), 6).alias("p"))
+    return wins(spark, sf_dir).select("stratum", F.round(E.tail_column(F.col("wins").cast("int"), F.col("losses").cast("int"), False) + 1e-10, 6).alias("p"))
 
 
 @query("""WITH x AS (SELECT n_name, count(*)::DOUBLE AS n, (count(*) FILTER (WHERE c_acctbal > 0))::DOUBLE AS k FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL), y AS (SELECT *, k / n AS p FROM x)
