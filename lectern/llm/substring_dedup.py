@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from lectern.llm.base import PARTIAL, Bits, Hashes, hashed_words, id_key, merged_filter, n_chunks, partial_sketch, power_of_2, raw, slices, window_hashes, window_starts
 
 WIDTH = 13
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 #: Words of one anchor's window; a window's anchor is the least hash of so many words in it.
 ANCHOR = 5
 #: A run of windows with one anchor: a document, the first window's place, hashes. With no hashes, removed windows.
