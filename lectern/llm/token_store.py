@@ -299,7 +299,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | Callable[[], str],
             raise ValueError("the vocabulary leaves no room for rules")
         part, seq, held, ids, n = TaskContext.get().partitionId(), 0, [], [], 0
         end = np.array([end_id], np.uint32)
-        for batch in slices(batches, most=8 << 20):
+        for batch in slices(batches):
             for doc, own in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text")), strict=True):
                 held.append(doc)
                 ids.append(np.concatenate((own, end)).astype(np.uint16))
