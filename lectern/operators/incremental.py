@@ -75,7 +75,10 @@ def numbered(rows: DataFrame, order: list[Column], high_water: int, column: str
     counted by partition first, and only the counts meet in one place."""
     from pyspark.sql.window import Window
 
+    from lectern.session import kept
+
     parted = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+    parted = kept(parted)  # both uses below must see the same partitions
     counts = parted.groupBy("_part").agg(F.count("*").alias("_n"))
     starts = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
     return parted.join(starts, "_part").withColumn(column, F.lit(high_water + 1) + F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")

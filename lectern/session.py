@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -33,3 +33,11 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(path)
         _SHIPPED.add(spark.sparkContext.applicationId)
     return spark
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the folder of spark.checkpoint.dir, which all executors share; a temporary one where that is unset."""
+    context = df.sparkSession.sparkContext
+    if not context.getConf().get("spark.checkpoint.dir") and context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-"))
+    return df.checkpoint()
