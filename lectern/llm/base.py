@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -47,6 +49,14 @@ def row_digest(*columns: Column) -> Column:
     return F.md5(F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("\x00")) for c in columns]))
 
 
+def release() -> None:
+    """Give freed memory back to the system, so that a worker that is used again starts small."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.util.find_library("c")
+    if libc and hasattr(library := ctypes.CDLL(libc), "malloc_trim"):
+        library.malloc_trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive rows holding about ``most`` bytes in ``column``; a longer row stands alone."""
     for batch in batches:
@@ -60,6 +70,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
             stop = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    release()
 
 
 def list_slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 400_000) -> Iterator[pa.RecordBatch]:
@@ -72,6 +83,7 @@ def list_slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 400_
             stop = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    release()
 
 
 def raw(column: pa.Array) -> list[bytes | None]:
