@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
@@ -13,6 +14,7 @@ from lectern.operators import incremental, keyword, navigate, vector
 from lectern.operators.literal import excerpt, literal_ranking
 from lectern.schema import CANDIDATES, LIMIT_MOST, LITERAL_CANDIDATES, MAX_QUERY_TERMS, PASSAGES_PER_CANDIDATE
 from lectern.sources import markdown
+from lectern.sources.scope import exclusive, ignored, without_ignored
 from lectern.sources.snapshot import Index
 
 Embedder = Callable[[DataFrame], DataFrame]
@@ -71,10 +73,16 @@ class Engine:
     def index_directory(self, directory: str, exclude: list[str] | None = None) -> Report:
         """Bring the index in line with a folder: only new and changed files are parsed and embedded, vanished ones go.
 
-        All of it becomes visible at once, and a run that another overtook fails and leaves nothing.
+        All of it becomes visible at once. A second run at the same time is refused; one that was overtaken fails and
+        leaves nothing.
         """
+        with exclusive(self.spark, self.index.root):
+            return self._index(directory, exclude)
+
+    def _index(self, directory: str, exclude: list[str] | None) -> Report:
         began = self.index.current()
-        files = markdown.scan(self.spark, directory, exclude).withColumn("doc_id", F.xxhash64("file_path"))
+        left_out = ignored(directory)[1] if os.path.isdir(directory) else []
+        files = without_ignored(markdown.scan(self.spark, directory, exclude), left_out).withColumn("doc_id", F.xxhash64("file_path"))
         manifest = files.select("file_path", "content_hash", F.lit(2).alias("vector_format"), F.lit(self.weights).alias("weights_revision"), F.col("mtime").alias("mtime_ns"), "doc_id")
         if began is None:
             states = manifest.select("file_path", F.lit("new").alias("state"))
@@ -108,6 +116,21 @@ class Engine:
             frame.unpersist()
         return Report(counts, failures, total, made["generation"])
 
+    def status(self, directory: str, exclude: list[str] | None = None) -> dict:
+        """How the index stands against a folder: counts, the first directories with stale documents, and a verdict."""
+        current = self.index.current()
+        if current is None:
+            return {"verdict": "empty", "indexed": 0, "failed": 0, "stale": 0, "directories": []}
+        files = markdown.scan(self.spark, directory, exclude)
+        manifest = files.select("file_path", "content_hash", F.lit(2).alias("vector_format"), F.lit(self.weights).alias("weights_revision"), F.col("mtime").alias("mtime_ns"))
+        stale = incremental.manifest_diff(self.index.table("manifest"), manifest).filter("state IN ('new', 'changed', 'vanished')").cache()
+        documents = self.index.table("documents").agg(F.count("*").alias("indexed"), F.count("error").alias("failed"))
+        one = documents.crossJoin(stale.agg(F.count("*").alias("stale")))  # single rows
+        row = one.select("*", incremental.verdict(F.col("indexed"), F.col("failed"), F.col("stale"), F.lit(bool(current.get("verified")))).alias("verdict")).first()
+        folders = stale.select(F.regexp_replace("file_path", "/?[^/]*$", "").alias("d")).distinct().orderBy("d").limit(3).collect()
+        stale.unpersist()
+        return row.asDict() | {"directories": [r["d"] for r in folders], "weights_agree": current["weights"] == self.weights}
+
     def sections(self) -> DataFrame:
         return self.index.table("sections")
 

@@ -45,9 +45,11 @@ def test_round(engine):
     top = engine.search("--dry-run").hits[0]
     assert top.heading_path == "Flags" and top.excerpt is not None and "--dry-run" in "\n".join(top.content.split("\n")[slice(*top.excerpt)])
     assert all(h.file_path.startswith("a/") for h in engine.search("text words", scope="a").hits)
+    assert engine.status(str(engine.root))["verdict"] == "complete"
     ids = {r["section_id"] for r in engine.sections().collect()}
     (engine.root / "guide.md").write_text(GUIDE + "\n## New\n\nAdded later.\n")
     (engine.root / "a" / "guide.md").unlink()
+    assert engine.status(str(engine.root))["stale"] == 2
     report = engine.index_directory(str(engine.root))
     assert report.states == {"changed": 1, "unchanged": 1, "vanished": 1} and report.sections == 5 and report.generation == 2
     fresh = {r["section_id"] for r in engine.sections().filter("file_path = 'guide.md'").collect()}

@@ -1,10 +1,11 @@
 import json
+import subprocess
 
 import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import incremental as I
-from lectern.sources import logs, markdown
+from lectern.sources import logs, markdown, scope
 from lectern.sources.snapshot import Conflict, Index, NewerSchema
 from lectern.streaming.ingest import calls_by_window, ingest
 
@@ -74,3 +75,18 @@ def test_ids_are_never_reused(spark):
     rows = spark.range(100).select((F.col("id") * 37 % 101).alias("k"))
     found = I.numbered(rows, [F.col("k")], 500).orderBy("k").collect()
     assert [r["section_id"] for r in found] == list(range(501, 601))
+
+
+def test_scope(spark, tree, tmp_path):
+    subprocess.run(["git", "init", "-q", str(tree)], check=True)
+    assert scope.ignored(str(tmp_path / "index"))[0] != "applied"
+    (tree / ".gitignore").write_text("skip/\nb.md\n")
+    state, prefixes = scope.ignored(str(tree))
+    assert state == "applied" and sorted(prefixes) == ["b.md", "skip/"]
+    files = spark.createDataFrame([("b.md",), ("skip/y.md",), ("skip.md",), ("sub/b.md",)], "file_path string")
+    assert sorted(r[0] for r in scope.without_ignored(files, prefixes).collect()) == ["skip.md", "sub/b.md"]
+    with scope.exclusive(spark, str(tmp_path / "home")), pytest.raises(scope.Busy), scope.exclusive(spark, str(tmp_path / "home")):
+        pass
+    with scope.exclusive(spark, str(tmp_path / "home")):
+        pass
+    assert scope.home_of(str(tree), "/x").startswith("/x/docs-") and len(scope.home_of(str(tree), "/x").rpartition("-")[2]) == 12
