@@ -39,7 +39,7 @@ def test_bm25_agrees_with_sqlite(spark):
     ("query", "expected"),
     [
         ("how do I install it", ["install"]), ("where is the WHERE clause", ["WHERE", "clause"]), ("to be or not", ["to", "be", "or", "not"]), ("--all -i", ["--all", "-i"]), ("all() of rate(x[5m])", ["all()", "rate()"]),
-        ("flag(s) Flag FLAG", ["flag(s)", "Flag"]), ("?! ...", []), ("MDMEM_DB_PATH.", ["MDMEM_DB_PATH."]), ("rate(x[5m]))", ["rate(x[5m]))"]),
+        ("flag(s) Flag FLAG", ["flag(s)", "Flag"]), ("?! ...", []), ("APP_DB_PATH.", ["APP_DB_PATH."]), ("rate(x[5m]))", ["rate(x[5m]))"]),
     ],
 )
 def test_query_terms(spark, query, expected):
