@@ -44,11 +44,6 @@ def id_key(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(-(2**63)))
 
 
-def row_digest(*columns: Column) -> Column:
-    """A 128-bit digest of the columns, for ties between rows of one id."""
-    return F.md5(F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("\x00")) for c in columns]))
-
-
 def release() -> None:
     """Give freed memory back to the system, so that a worker that is used again starts small."""
     pa.default_memory_pool().release_unused()

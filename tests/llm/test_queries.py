@@ -16,10 +16,6 @@ def table_views(sf):
     return con
 
 
-def rounded(rows):
-    return sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in row) for row in rows)
-
-
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, sf, name):
     found = queries.QUERIES[name](spark, sf)
