@@ -9,6 +9,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions.stem import stemmed
 from lectern.functions.text import walk_key
 from lectern.operators import incremental, keyword, navigate, vector
 from lectern.operators.literal import excerpt, literal_ranking
@@ -65,10 +66,11 @@ class Ambiguous(LookupError):
 
 
 class Engine:
-    """``home`` holds the snapshots; ``embed`` makes (owner_id, embedding) of (owner_id, text), ``weights`` names its model."""
+    """``home`` holds the snapshots; ``embed`` makes (owner_id, embedding) of (owner_id, text), ``weights`` names its
+    model, and ``analyze`` makes tokens of a text."""
 
-    def __init__(self, spark: SparkSession, home: str, embed: Embedder = vector.hashed_embeddings, weights: str = "hashed-64"):
-        self.spark, self.index, self.embed, self.weights = spark, Index(spark, home), embed, weights
+    def __init__(self, spark: SparkSession, home: str, embed: Embedder = vector.hashed_embeddings, weights: str = "hashed-64", analyze: keyword.Analyzer = stemmed):
+        self.spark, self.index, self.embed, self.weights, self.analyze = spark, Index(spark, home), embed, weights, analyze
 
     def index_directory(self, directory: str, exclude: list[str] | None = None) -> Report:
         """Bring the index in line with a folder: only new and changed files are parsed and embedded, vanished ones go.
@@ -189,8 +191,8 @@ class Engine:
         below = F.col("file_path").startswith(scope.rstrip("/") + "/") if scope else F.lit(True)
         own = everything.filter(below)
         asked = self.spark.createDataFrame([(0, query)], "query_id int, query string")
-        terms = keyword.term_table(asked)
-        found = keyword.occurrences(own, terms).cache()
+        terms = keyword.term_table(asked, analyze=self.analyze)
+        found = keyword.occurrences(own, terms, analyze=self.analyze).cache()
         words = terms.orderBy("term_id").collect()
         gated = keyword.gate(own, terms, found).cache()
         state = keyword.keyword_states(asked, terms, gated).first()["keyword_match"]
@@ -198,7 +200,7 @@ class Engine:
         if lookup and state == "no_match":
             return Page(state)
         full = own.select("section_id", "file_path", "heading_title", "heading_path", "content", "start_line", "end_line", "part_index")
-        scored = keyword.bm25(everything, terms, below)
+        scored = keyword.bm25(everything, terms, below, analyze=self.analyze)
         most = max(CANDIDATES, limit)
         stated = F.size("passages") > 0
         bodies = gated.filter("passed").join(own.filter(stated).select("section_id"), "section_id", "left_semi")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,25 +12,29 @@ from lectern.functions.text import is_identifier, query_terms, tokens, walk_key
 from lectern.schema import BM25_B, BM25_K1, FIELD_WEIGHTS, GATE_SHARE, IDF_FLOOR, MAX_QUERY_TERMS, RARE_SECTIONS, RARE_SHARE
 
 
-def postings(sections: DataFrame, fields: dict[str, float] = FIELD_WEIGHTS) -> DataFrame:
+#: Tokens of a text: ``functions.text.tokens``, or ``functions.stem.stemmed`` to match word forms.
+Analyzer = Callable[[Column], Column]
+
+
+def postings(sections: DataFrame, fields: dict[str, float] = FIELD_WEIGHTS, analyze: Analyzer = tokens) -> DataFrame:
     """(term, section_id, field, tf, positions) of all fields, for an index that is kept; write it sorted by term."""
-    each = sections.select("section_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("tokens")) for f in fields])).alias("x"))
+    each = sections.select("section_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), analyze(F.col(f)).alias("tokens")) for f in fields])).alias("x"))
     spread = each.select("section_id", "x.field", F.posexplode("x.tokens").alias("position", "term"))
     return spread.groupBy("term", "section_id", "field").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
 
 
-def lengths(sections: DataFrame, fields: dict[str, float] = FIELD_WEIGHTS) -> DataFrame:
+def lengths(sections: DataFrame, fields: dict[str, float] = FIELD_WEIGHTS, analyze: Analyzer = tokens) -> DataFrame:
     """(section_id, length): tokens over all fields."""
-    return sections.select("section_id", sum((F.size(tokens(F.col(f))) for f in fields), F.lit(0)).cast("long").alias("length"))
+    return sections.select("section_id", sum((F.size(analyze(F.col(f))) for f in fields), F.lit(0)).cast("long").alias("length"))
 
 
-def term_table(queries: DataFrame, most: int = MAX_QUERY_TERMS) -> DataFrame:
+def term_table(queries: DataFrame, most: int = MAX_QUERY_TERMS, analyze: Analyzer = tokens) -> DataFrame:
     """(query_id, term_id, term, tokens, identifier) of queries (query_id, query)."""
     spread = queries.select("query_id", F.posexplode(query_terms(F.col("query"), most)).alias("term_id", "term"))
-    return spread.select("query_id", "term_id", "term", tokens(F.col("term")).alias("tokens"), is_identifier(F.col("term")).alias("identifier"))
+    return spread.select("query_id", "term_id", "term", analyze(F.col("term")).alias("tokens"), is_identifier(F.col("term")).alias("identifier"))
 
 
-def occurrences(sections: DataFrame, terms: DataFrame, fields: dict[str, float] = FIELD_WEIGHTS) -> DataFrame:
+def occurrences(sections: DataFrame, terms: DataFrame, fields: dict[str, float] = FIELD_WEIGHTS, analyze: Analyzer = tokens) -> DataFrame:
     """(query_id, term_id, section_id, weight): field-weighted occurrences of each term as a run of adjacent tokens.
 
     A token that no term has is dropped where it is read; a run is complete when all its places agree on where it
@@ -36,19 +42,19 @@ def occurrences(sections: DataFrame, terms: DataFrame, fields: dict[str, float]
     for safe.
     """
     wanted = terms.select("query_id", "term_id", F.size("tokens").alias("k"), F.posexplode("tokens").alias("ord", "token"))
-    each = sections.select("section_id", F.explode(F.array(*[F.struct(F.lit(w).alias("weight"), tokens(F.col(f)).alias("tokens")) for f, w in fields.items()])).alias("x"))
+    each = sections.select("section_id", F.explode(F.array(*[F.struct(F.lit(w).alias("weight"), analyze(F.col(f)).alias("tokens")) for f, w in fields.items()])).alias("x"))
     spread = each.select("section_id", "x.weight", F.posexplode("x.tokens").alias("position", "token"))
     runs = spread.join(wanted, "token").groupBy("query_id", "term_id", "section_id", "weight", (F.col("position") - F.col("ord")).alias("start")).agg(F.count("*").alias("n"), F.first("k").alias("k"))
     return runs.filter("n = k").groupBy("query_id", "term_id", "section_id").agg(F.sum("weight").alias("weight"))
 
 
-def bm25(sections: DataFrame, terms: DataFrame, scope: Column | None = None, fields: dict[str, float] = FIELD_WEIGHTS) -> DataFrame:
+def bm25(sections: DataFrame, terms: DataFrame, scope: Column | None = None, fields: dict[str, float] = FIELD_WEIGHTS, analyze: Analyzer = tokens) -> DataFrame:
     """(query_id, section_id, score): higher is better, rounded to 6 digits.
 
     Frequencies and lengths are those of the whole table; ``scope`` only chooses the rows that are ranked.
     """
-    found = occurrences(sections, terms, fields)
-    sized = lengths(sections, fields)
+    found = occurrences(sections, terms, fields, analyze)
+    sized = lengths(sections, fields, analyze)
     whole = sized.agg(F.count("*").alias("total"), F.avg("length").alias("average"))
     frequency = found.groupBy("query_id", "term_id").agg(F.count("*").alias("df"))
     idf = F.ln((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -77,13 +83,13 @@ def rare(total: Column) -> Column:
     return F.greatest(F.lit(RARE_SECTIONS), F.floor(total * RARE_SHARE)).cast("bigint")
 
 
-def gate(sections: DataFrame, terms: DataFrame, found: DataFrame | None = None) -> DataFrame:
+def gate(sections: DataFrame, terms: DataFrame, found: DataFrame | None = None, analyze: Analyzer = tokens) -> DataFrame:
     """(query_id, section_id, share, passed): the share of a query's IDF mass that a section matches.
 
     It passes with half of the mass, with a rare identifier, or where the query has one term. Counts are those of
     ``sections``, the scope of the search.
     """
-    found = occurrences(sections, terms) if found is None else found
+    found = occurrences(sections, terms, analyze=analyze) if found is None else found
     total = sections.agg(F.count("*").alias("total"))
     frequency = terms.select("query_id", "term_id", "identifier").join(found.groupBy("query_id", "term_id").agg(F.count("*").alias("df")), ["query_id", "term_id"], "left").crossJoin(F.broadcast(total))  # one row is broadcast
     frequency = frequency.withColumn("df", F.coalesce("df", F.lit(0)))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.functions import vectors as V
+from lectern.functions.stem import stem, stemmed
 from lectern.operators import keyword as K
 from lectern.operators import vector as N
 from lectern.operators.evaluate import binomial_tail, tail_column
@@ -102,3 +103,22 @@ def test_scores_read_no_more_than_they_need(spark, tmp_path):
     terms = K.term_table(spark.createDataFrame([(1, "text")], "query_id long, query string"))
     ranked = K.with_ties(K.bm25(own, terms), 5)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in ranked and "Python" not in ranked and "Pandas" not in ranked
+
+
+def test_stems_agree_with_sqlite():
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE VIRTUAL TABLE t USING fts5(x, tokenize = 'porter unicode61')")
+    con.execute("CREATE VIRTUAL TABLE v USING fts5vocab(t, 'row')")
+    rng = random.Random(9)
+    parts = ["ation", "al", "iz", "e", "ing", "ed", "s", "ness", "ful", "ous", "iv", "y", "b", "l", "t", "ll", "ee", "o", "able", "ion", "h", "is", "ti"]
+    words = {"".join(rng.choice(parts) for _ in range(rng.randrange(1, 6))) for _ in range(3000)} | {"relational", "hopping", "falling", "happy", "sky", "agreed", "feed", "cease", "roll", "controlling"}
+    for word in words:
+        con.execute("DELETE FROM t")
+        con.execute("INSERT INTO t VALUES (?)", (word,))
+        assert con.execute("SELECT term FROM v").fetchone()[0] == stem(word)
+
+
+def test_stemmed_lane(spark):
+    own = spark.createDataFrame([(1, "", "", "retrying requests"), (2, "", "", "other words")], "section_id long, heading_title string, heading_path string, content string")
+    terms = K.term_table(spark.createDataFrame([(0, "retry request")], "query_id long, query string"), analyze=stemmed)
+    assert {r["section_id"] for r in K.bm25(own, terms, analyze=stemmed).collect()} == {1} and K.bm25(own, K.term_table(spark.createDataFrame([(0, "retry")], "query_id long, query string"))).count() == 0
