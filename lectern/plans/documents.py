@@ -131,7 +131,7 @@ def markdown_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = lines.select("doc_id", F.concat(F.lit("d-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file_path"), F.array_join(F.transform("lines", lambda x: x["text"]), "\n").alias("text"))
     made = M.parsed(texts)
     counted = F.size(F.filter("passages", lambda p: p["list0"].isNotNull())).cast("long")
-    return M.sections(made).join(made.select("doc_id", "title"), "doc_id").select("doc_id", "title", "heading_path", "heading_level", "start_line", "end_line", "content", counted.alias("passages"))
+    return M.sections(made).join(made.select("doc_id", "title"), "doc_id").select(F.col("doc_id").cast("int").alias("doc_id"), "title", "heading_path", "heading_level", "start_line", "end_line", "content", counted.alias("passages"))
 
 
 @query("WITH x AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h1 FROM pages) SELECT page_id, CASE WHEN h1 <> '' THEN h1 WHEN title <> '' THEN title ELSE 'page-' || page_id END AS title FROM x")
