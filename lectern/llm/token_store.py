@@ -123,7 +123,10 @@ class Encoder:
         new = np.flatnonzero(~known)
         if len(new):
             # Common scripts are spelled here, others by the library: words of either kind are learnt together.
-            order = np.fromiter((max(words[i], default="") > chr(SPELLED) for i in new.tolist()), bool, len(new))
+            fresh = [words[i] for i in new.tolist()]
+            order = np.zeros(len(new), bool)
+            if max("".join(fresh), default="") > chr(SPELLED):
+                order[:] = [max(w, default="") > chr(SPELLED) for w in fresh]
             new = np.concatenate((new[~order], new[order]))
             cut = int((~order).sum())
             parts = [self.learn([words[i] for i in own.tolist()]) for own in (new[:cut], new[cut:]) if len(own)]
@@ -250,12 +253,16 @@ class Grammar:
         pairs = np.frombuffer(rules, "<u2").reshape(-1, 2)
         self.spans = np.concatenate((np.ones(first_rule, np.int64), np.frombuffer(spans, "<u2").astype(np.int64)))
         self.starts = np.cumsum(self.spans) - self.spans
-        self.ids = np.zeros(int(self.spans.sum()), np.uint16)
-        self.ids[:first_rule] = np.arange(first_rule, dtype=np.uint16)
-        for symbol, (left, right) in enumerate(pairs.tolist(), first_rule):
-            at, n = self.starts[symbol], self.spans[left]
-            self.ids[at : at + n] = self.ids[self.starts[left] : self.starts[left] + n]
-            self.ids[at + n : at + self.spans[symbol]] = self.ids[self.starts[right] : self.starts[right] + self.spans[right]]
+        # All rules are expanded at once, as often as they nest.
+        symbols = pairs.reshape(-1).astype(np.int64)
+        while len(nested := np.flatnonzero(symbols >= first_rule)):
+            n = np.ones(len(symbols), np.int64)
+            n[nested] = 2
+            ends = np.cumsum(n)
+            wider = np.repeat(symbols, n)
+            wider[ends[nested] - 2], wider[ends[nested] - 1] = pairs[symbols[nested] - first_rule].T
+            symbols = wider
+        self.ids = np.concatenate((np.arange(first_rule), symbols)).astype(np.uint16)
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         n = self.spans[symbols]
@@ -299,7 +306,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | Callable[[], str],
             raise ValueError("the vocabulary leaves no room for rules")
         part, seq, held, ids, n = TaskContext.get().partitionId(), 0, [], [], 0
         end = np.array([end_id], np.uint32)
-        for batch in slices(batches):
+        for batch in slices(batches, most=6 << 20):
             for doc, own in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text")), strict=True):
                 held.append(doc)
                 ids.append(np.concatenate((own, end)).astype(np.uint16))
