@@ -20,7 +20,6 @@ from lectern.llm.base import REMEMBERED_WORDS, Hashes, cut, mixed, raw, slices
 BITS = 20
 #: The classifier is fitted on so many labelled texts at most, those with the least digests of their ids.
 MOST_TRAINED = 16_000
-EPOCHS = 3
 RUNS = re.compile(r"(.)\1+", re.S)
 
 
@@ -90,26 +89,21 @@ def _valued(found: np.ndarray, bias: int, scale: float) -> tuple[np.ndarray, np.
 SCALE = 60.0
 
 
-def train(labelled: DataFrame, most: int = MOST_TRAINED, epochs: int = EPOCHS, bits: int = BITS) -> np.ndarray:
+def train(labelled: DataFrame, most: int = MOST_TRAINED, bits: int = BITS) -> np.ndarray:
     """Weights (the last is the bias) from rows of (doc_id, text, label), of which ``most`` are used.
 
     Rows without a label of 0 or 1 are left out; null and empty texts count with their bias alone. Without rows,
-    all weights are 0. One task reads the rows in the order of their digests and keeps only their features.
+    all weights are 0. One task reads the rows once, in the order of their digests, and keeps nothing but the model.
     """
     rows = labelled.filter(F.col("label").isin(0, 1)).select(F.xxhash64("doc_id").alias("turn"), "text", F.col("label").cast("int").alias("label"))
     rows = rows.orderBy("turn", "label").limit(most).repartition(1).sortWithinPartitions("turn", "label")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, shapes, held, model = Hashes(), Shapes(), [], Ftrl(bits)
-        for part in slices(batches):
+        words, shapes, model = Hashes(), Shapes(), Ftrl(bits)
+        for part in slices(batches, most=1 << 20):
             found, offsets = features(raw(part.column("text")), words, shapes, bits)
             for a, b, label in zip(offsets[:-1].tolist(), offsets[1:].tolist(), part.column("label").to_pylist(), strict=True):
-                at, values = _valued(found[a:b], 1 << bits, SCALE)
-                held.append((at.astype(np.uint32), values.astype(np.float32), label))
-                model.learn(at, values, label)
-        for _ in range(epochs - 1):
-            for at, values, label in held:
-                model.learn(at, values, label)
+                model.learn(*_valued(found[a:b], 1 << bits, SCALE), label)
         yield pa.record_batch([pa.array([model.weights().astype("<f4").tobytes()])], names=["weights"])
 
     found = rows.mapInArrow(fit, "weights binary").first()
