@@ -158,7 +158,7 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, width: int = W
 
     def doc_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Tokens()
-        for part in slices(batches):
+        for part in slices(batches, most=2 << 20):
             hashes, kinds, offsets, words, token = templates(raw(part.column("text")), known)
             ids = np.asarray(part.column("key")).astype(np.int64)
             for w in widths:
