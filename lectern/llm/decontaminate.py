@@ -2,11 +2,13 @@
 
 Numbers, names and units become typed placeholders. Windows of such templates are joined by hash, and a match
 counts where the slots' values of item and document correspond one to one, so that verbatim copies and
-re-parameterised questions are found alike and mere likeness of form is not.
+re-parameterised questions are found alike and mere likeness of form is not. Windows of neighbouring offsets are
+united, so that inserted and deleted words do not split a match.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,12 +25,14 @@ NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve t
 UNITS = "mm cm dm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg t gram grams kilogram kilograms ton tons oz ounce ounces lb lbs pound pounds ml cl l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years meter meters metre metres kilometer kilometers kilometre kilometres centimeter centimeters centimetre centimetres mph kmh hz khz mhz ghz w kw mw v kv a ma j kj cal kcal pa kpa bar usd eur gbp dollar dollars euro euros cent cents percent degree degrees".split()
 LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
 EDGES = b"\"'`.,;:!?()[]{}<>*_#$%&|~^+=/\\-"
-WINDOWS = "hash long, key long, place long, slots array<string>"
+WINDOWS = "hash long, key long, row long, at array<long>, slots array<string>"
+ITEM_WINDOWS = "hash long, item long, item_at array<long>, item_slots array<string>, item_tokens long"
 RESULT = "doc_id long, item_id long, matched long, item_tokens long, share double, changed_slots long, verbatim boolean, contaminated boolean"
 
 
 class Tokens(dict):
-    """What a raw word is: a hash with its type in the lowest bits and whether it ends a sentence; 0 if nothing is left of it."""
+    """What a raw word is: a hash with, in the lowest bits, its type, whether it ends a sentence, and whether the parts of
+    a name or of a number in words can follow (16) or precede it (32) as one value; 0 if nothing is left of it."""
 
     numbers, units = {w.encode() for w in NUMBERS}, {w.encode() for w in UNITS}
 
@@ -51,7 +55,8 @@ class Tokens(dict):
                 text = core.decode("utf-8", "replace")
                 if text[0].isupper() and len(text) > 1 and text[1:].islower():
                     kind = NAME
-            value = xxhash.xxh3_64_intdigest(low) & ~15 | 8 | kind << 1 | ends
+            part = kind == NAME or low in self.numbers
+            value = xxhash.xxh3_64_intdigest(low) & ~63 | 8 | kind << 1 | ends | (part and word.endswith(core)) << 4 | (part and word.startswith(core)) << 5
         self[word] = value
         return value
 
@@ -59,8 +64,9 @@ class Tokens(dict):
 SLOT_HASH = np.array([0, 0x51AF3C, 0x9D2E71, 0xC3B8A5], np.uint64)
 
 
-def templates(texts: list[bytes | None], known: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-    """Of all texts' tokens: template hashes, types, offsets of texts, raw words and which of these are tokens."""
+def templates(texts: list[bytes | None], known: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """Of all texts' tokens: template hashes, types, offsets of texts, raw words, which of these are tokens, and which
+    tokens are further parts of the name or number before them."""
     split = [(t or b"").split() for t in texts]
     words = [w for own in split for w in own]
     codes = np.fromiter((known[w] for w in words), np.uint64, len(words))
@@ -73,10 +79,19 @@ def templates(texts: list[bytes | None], known: Tokens) -> tuple[np.ndarray, np.
     after[starts[counts > 0]] = True
     kinds = (codes >> np.uint64(1) & np.uint64(3)).astype(np.int64)
     kinds[after & (kinds == NAME)] = LITERAL
-    hashes = np.where(kinds == LITERAL, codes & ~np.uint64(15), SLOT_HASH[kinds])
+    hashes = np.where(kinds == LITERAL, codes & ~np.uint64(63), SLOT_HASH[kinds])
+    joined = np.zeros(len(words), bool)
+    joined[1:] = (codes[:-1] & np.uint64(16) != 0) & (codes[1:] & np.uint64(32) != 0) & (kinds[1:] == kinds[:-1]) & (kinds[1:] != LITERAL)
+    joined[starts[counts > 0]] = False
     place = np.concatenate(([0], np.cumsum(token)))
     offsets = place[np.append(starts, len(words))]
-    return hashes[token], kinds[token], offsets, words, np.flatnonzero(token)
+    return hashes[token], kinds[token], offsets, words, np.flatnonzero(token), joined[token]
+
+
+def merged(hashes: np.ndarray, kinds: np.ndarray, offsets: np.ndarray, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Names and numbers of several words as one token: hashes, types, offsets of texts, and where each token starts among all words' tokens."""
+    heads = np.flatnonzero(~joined)
+    return hashes[heads], kinds[heads], np.concatenate(([0], np.cumsum(~joined)))[offsets], np.append(heads, len(joined))
 
 
 def _windows(hashes: np.ndarray, kinds: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,8 +105,66 @@ def _windows(hashes: np.ndarray, kinds: np.ndarray, offsets: np.ndarray, width:
     return mixed(window_hashes(hashes, width)[starts], 40 + width), starts, owner
 
 
-def _slots(words: list[bytes], token: np.ndarray, kinds: np.ndarray, start: int, width: int) -> list[str]:
-    return [f"{i}:{kinds[start + i]}:{words[token[start + i]].strip(EDGES).decode('utf-8', 'replace').lower()}" for i in range(width) if kinds[start + i] != LITERAL]
+def _slots(words: list[bytes], token: np.ndarray, kinds: np.ndarray, bounds: np.ndarray, start: int, width: int) -> list[str]:
+    values = ((i, b" ".join(words[k].strip(EDGES) for k in token[bounds[start + i] : bounds[start + i + 1]])) for i in range(width) if kinds[start + i] != LITERAL)
+    return [f"{i}:{kinds[start + i]}:{value.decode('utf-8', 'replace').lower()}" for i, value in values]
+
+
+class Run:
+    """The windows of one document and item at one offset: document places by item token, and slots by item token."""
+
+    def __init__(self) -> None:
+        self.places: dict[int, int] = {}
+        self.slots: dict[int, tuple[str, str, str]] = {}
+
+    def add(self, at: list[int], slots: list[str], item_at: list[int], item_slots: list[str]) -> None:
+        for i, place in enumerate(at[:-1]):
+            for own in range(item_at[i], item_at[i + 1]):
+                self.places.setdefault(own, place)
+        for mine, other in zip(item_slots, slots, strict=True):
+            i, kind, value = mine.split(":", 2)
+            self.slots.setdefault(item_at[int(i)], (kind, value, other.split(":", 2)[2]))
+
+
+def one_to_one(slots: list[tuple[str, str, str]]) -> bool:
+    """Whether values of item and document correspond one to one by type."""
+    pairs = set(slots)
+    return len(pairs) == len({(k, a) for k, a, _ in pairs}) == len({(k, b) for k, _, b in pairs})
+
+
+def united(windows: list[tuple], n: int, least_share: float) -> tuple[int, int, int] | None:
+    """Of an item of ``n`` tokens and its windows in a document: matched tokens, slots that differ (negative), offsets in use (negative).
+
+    Around each offset, those that lie within half of the item's length (``WIDTH`` at least) add what they match
+    besides, larger ones first: a token of the document stands for one of the item, and slots stay one to one.
+    None if that is below ``least_share`` of the item everywhere.
+    """
+    runs: dict[int, Run] = {}
+    for at, slots, item_at, item_slots in sorted(windows):
+        runs.setdefault(at[0] - item_at[0], Run()).add(at, slots, item_at, item_slots)
+    runs = {o: run for o, run in runs.items() if one_to_one(list(run.slots.values()))}
+    offsets, drift, best = sorted(runs), max(WIDTH, n // 2), None
+    sums = np.concatenate(([0], np.cumsum([len(runs[o].places) for o in offsets])))
+    for seed in sorted(offsets, key=lambda o: (-len(runs[o].places), o)):
+        low, high = bisect_left(offsets, seed - drift), bisect_right(offsets, seed + drift)
+        if sums[high] - sums[low] < n * least_share:
+            continue
+        covered, slots, used = dict(runs[seed].places), dict(runs[seed].slots), 1
+        taken = set(covered.values())
+        for o in sorted(offsets[low:high], key=lambda o: (-len(runs[o].places), abs(o - seed), o)):
+            more = {i: place for i, place in runs[o].places.items() if i not in covered and place not in taken}
+            if not more:
+                continue
+            both = slots | {i: slot for i, slot in runs[o].slots.items() if i in more}
+            if one_to_one(list(both.values())):
+                covered, slots, used = covered | more, both, used + 1
+                taken.update(more.values())
+        found = len(covered), -sum(a != b for _, a, b in slots.values()), -used
+        if found[0] >= n * least_share and (best is None or found > best):
+            best = found
+        if best == (n, 0, -1):
+            break
+    return best
 
 
 def contaminated_documents(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least_share: float = 0.6) -> DataFrame:
@@ -99,12 +172,13 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, width: int = W
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text; nothing else is read. Returns a row for each
     document and item found in it, and none for other documents: doc_id, item_id, matched (tokens of the item in
-    template windows found at one offset), item_tokens, share, changed_slots (slot values that differ), verbatim,
-    contaminated (true). Of items with the same template and the same slots in common, the least item_id stands
+    template windows found near one another), item_tokens, share, changed_slots (slot values that differ), verbatim
+    (no such slot, and all at one offset), contaminated (true). Of items with the same template and the same slots in common, the least item_id stands
     for all.
 
     A pair counts when matched tokens are ``least_share`` of the item's and the slots' values correspond one to
-    one by type. Items shorter than ``width`` match as a whole; those of fewer than 4 tokens, null or empty texts,
+    one by type. Windows of offsets that differ by half of the item's tokens or ``WIDTH`` at most are united; names of
+    several words, and numbers in several, are one slot. Items shorter than ``width`` match as a whole; those of fewer than 4 tokens, null or empty texts,
     and windows of more placeholders than words match nothing. A null doc_id stays null. Rows that share an id
     give one row for each item. Items may be many: a filter of their windows, of bounded size, is broadcast, and
     the windows that pass it are joined with them.
@@ -116,33 +190,35 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, width: int = W
     def template(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Tokens()
         for part in slices(batches):
-            hashes, kinds, offsets, words, token = templates(raw(part.column("text")), known)
+            hashes, kinds, offsets, words, token, joined = templates(raw(part.column("text")), known)
             names, n = [], np.diff(offsets)
+            slots = np.diff(merged(hashes, kinds, offsets, joined)[2])
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 values = [words[token[i]].strip(EDGES).lower() if kinds[i] != LITERAL else None for i in range(a, b)]
                 first: dict = {}
                 pattern = [None if v is None else first.setdefault(v, len(first)) for v in values]
                 names.append(xxhash.xxh3_128_hexdigest(hashes[a:b].tobytes() + repr(pattern).encode()))
-            yield pa.record_batch([part.column("item"), part.column("text"), pa.array(names), pa.array(n)], names=["item", "text", "template", "n"])
+            yield pa.record_batch([part.column("item"), part.column("text"), pa.array(names), pa.array(n), pa.array(slots)], names=["item", "text", "template", "n", "m"])
 
-    classes = items.mapInArrow(template, "item long, text string, template string, n long").filter(F.col("n") >= LEAST)
-    classes = cut(classes.groupBy("template").agg(F.min("item").alias("item"), F.min_by("text", "item").alias("text"), F.first("n").alias("n")))
-    widths = sorted({min(width, r["n"]) for r in classes.select(F.least("n", F.lit(width)).alias("n")).distinct().collect()})
+    classes = items.mapInArrow(template, "item long, text string, template string, n long, m long").filter(F.col("n") >= LEAST)
+    classes = cut(classes.groupBy("template").agg(F.min("item").alias("item"), F.min_by("text", "item").alias("text"), F.min_by("m", "item").alias("m")))
+    widths = sorted({r["m"] for r in classes.select(F.least("m", F.lit(width)).cast("int").alias("m")).distinct().collect()})
 
     def item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Tokens()
         for part in slices(batches):
-            hashes, kinds, offsets, words, token = templates(raw(part.column("text")), known)
-            lengths, ids = np.diff(offsets), part.column("item").to_pylist()
+            hashes, kinds, first, words, token, joined = templates(raw(part.column("text")), known)
+            hashes, kinds, offsets, bounds = merged(hashes, kinds, first, joined)
+            lengths, tokens, ids = np.diff(offsets), np.diff(first), part.column("item").to_pylist()
             out: list[list] = [[], [], [], [], []]
             for w in widths:
                 for h, start, owner in zip(*(x.tolist() for x in _windows(hashes, kinds, offsets, w)), strict=True):
                     if w == min(width, lengths[owner]):
-                        for column, value in zip(out, (h, ids[owner], start - offsets[owner], _slots(words, token, kinds, start, w), lengths[owner]), strict=True):
+                        for column, value in zip(out, (h, ids[owner], (bounds[start : start + w + 1] - first[owner]).tolist(), _slots(words, token, kinds, bounds, start, w), tokens[owner]), strict=True):
                             column.append(value)
-            yield pa.record_batch([pa.array(np.array(out[0], np.uint64).view(np.int64)), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.list_(pa.string())), pa.array(out[4], pa.int64())], names=["hash", "item", "item_place", "item_slots", "item_tokens"])
+            yield pa.record_batch([pa.array(np.array(out[0], np.uint64).view(np.int64)), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.list_(pa.string())), pa.array(out[4], pa.int64())], names=["hash", "item", "item_at", "item_slots", "item_tokens"])
 
-    wanted = cut(classes.select("item", "text").mapInArrow(item_windows, "hash long, item long, item_place long, item_slots array<string>, item_tokens long"))
+    wanted = cut(classes.select("item", "text").mapInArrow(item_windows, ITEM_WINDOWS))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,28 +235,38 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, width: int = W
     def doc_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Tokens()
         for part in slices(batches, most=2 << 20):
-            hashes, kinds, offsets, words, token = templates(raw(part.column("text")), known)
+            texts = raw(part.column("text"))
+            hashes, kinds, first, words, token, joined = templates(texts, known)
+            hashes, kinds, offsets, bounds = merged(hashes, kinds, first, joined)
             ids = np.asarray(part.column("key")).astype(np.int64)
             for w in widths:
                 found, starts, owner = _windows(hashes, kinds, offsets, w)
                 own = passing.value.has(found)
                 found, starts, owner = found[own], starts[own], owner[own]
                 if len(found):
-                    slots = [_slots(words, token, kinds, s, w) for s in starts.tolist()]
-                    yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(ids[owner]), pa.array(starts - offsets[owner]), pa.array(slots, pa.list_(pa.string()))], names=["hash", "key", "place", "slots"])
+                    names = {o: xxhash.xxh3_64_intdigest(texts[o]) for o in set(owner.tolist())}
+                    at = [(bounds[s : s + w + 1] - first[o]).tolist() for s, o in zip(starts.tolist(), owner.tolist(), strict=True)]
+                    slots = [_slots(words, token, kinds, bounds, s, w) for s in starts.tolist()]
+                    row = np.array([names[o] for o in owner.tolist()], np.uint64).view(np.int64)
+                    yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(ids[owner]), pa.array(row), pa.array(at, pa.list_(pa.int64())), pa.array(slots, pa.list_(pa.string()))], names=["hash", "key", "row", "at", "slots"])
 
+    # Rows that share an id are told apart by their texts; windows of one text and item meet in one row.
     met = rows.mapInArrow(doc_windows, WINDOWS).join(wanted, "hash")
-    met = met.withColumn("offset", F.col("place") - F.col("item_place")).withColumn("w", F.least(F.col("item_tokens"), F.lit(width)))
-    # A slot is named by its place in the item, so that overlapping windows agree on it.
-    slot = F.zip_with("item_slots", "slots", lambda a, b: F.struct((F.split(a, ":", 3)[0].cast("long") + F.col("item_place")).alias("at"), F.split(a, ":", 3)[1].alias("kind"), F.split(a, ":", 3)[2].alias("item"), F.split(b, ":", 3)[2].alias("doc")))
-    met = met.select("key", "item", "offset", "item_tokens", F.sequence("item_place", F.col("item_place") + F.col("w") - 1).alias("tokens"), slot.alias("pairs"))
-    runs = met.groupBy("key", "item", "item_tokens", "offset").agg(F.array_distinct(F.flatten(F.collect_set("tokens"))).alias("tokens"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("slots"))
-    pairs = F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"].alias("kind"), s["item"].alias("item"), s["doc"].alias("doc"))))
-    lefts = F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"].alias("kind"), p["item"].alias("value"))))
-    rights = F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"].alias("kind"), p["doc"].alias("value"))))
-    runs = runs.withColumn("pairs", pairs).filter((F.size("pairs") == F.size(lefts)) & (F.size("pairs") == F.size(rights)))
-    runs = runs.select("key", "item", "item_tokens", F.size("tokens").cast("long").alias("matched"), F.size(F.filter("slots", lambda s: s["item"] != s["doc"])).cast("long").alias("changed"))
-    best = runs.filter(F.col("matched") >= F.col("item_tokens") * least_share).groupBy("key", "item", "item_tokens").agg(F.max(F.struct("matched", (-F.col("changed")).alias("same"))).alias("best"))
+    met = met.groupBy("key", "row", "item", "item_tokens").agg(F.collect_set(F.struct("at", "slots", "item_at", "item_slots")).alias("windows"))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], [], [], []]
+            for key, item, n, windows in zip(*(batch.column(c) for c in ("key", "item", "item_tokens", "windows")), strict=True):
+                n = n.as_py()
+                best = united([tuple(w.values()) for w in windows.as_py()], n, least_share)
+                if best:
+                    for column, value in zip(out, (key.as_py(), item.as_py(), n, *best), strict=True):
+                        column.append(value)
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in out], names=["key", "item", "item_tokens", "matched", "same", "runs"])
+
+    found = met.mapInArrow(judge, "key long, item long, item_tokens long, matched long, same long, runs long")
+    best = found.groupBy("key", "item", "item_tokens").agg(F.max(F.struct("matched", "same", "runs")).alias("best"))
     return best.select(
         F.when(F.col("key") != -(2**63), F.col("key")).alias("doc_id"),
         F.col("item").alias("item_id"),
@@ -188,6 +274,6 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, width: int = W
         "item_tokens",
         (F.col("best.matched") / F.col("item_tokens")).alias("share"),
         (-F.col("best.same")).alias("changed_slots"),
-        (F.col("best.same") == 0).alias("verbatim"),
+        ((F.col("best.same") == 0) & (F.col("best.runs") == -1)).alias("verbatim"),
         F.lit(True).alias("contaminated"),
     )

@@ -225,6 +225,24 @@ def test_decontamination(spark):
     assert collected(found, "doc_id", "item_id", "verbatim") == [(1, 1, True), (2, 1, False), (5, 2, True)]
 
 
+def contaminations(spark, own, items, *columns):
+    return collected(decontaminate.contaminated_documents(spark.createDataFrame(own, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")), *columns)
+
+
+def test_decontamination_unites_offsets(spark):
+    """Inserted and deleted words, and names of two words for one, do not split a match; one passage does not count twice."""
+    item = [f"word{i}x" for i in range(24)]
+    half = " ".join(item[:8])
+    items = [(1, " ".join(item)), (2, "every morning Anna walks to the market and there Boris sells her some of the fresh bread he bakes"), (3, f"{half} {half}".replace("word", "term"))]
+    own = [
+        (1, "so " + " ".join([*item[:12], "extra", *item[12:]]) + " it is"),
+        (2, "so " + " ".join([*item[:11], *item[12:]]) + " it is"),
+        (3, "so every morning Carla Maria Smith walks to the market and there Dora Jones sells her some of the fresh bread he bakes"),
+        (4, "so " + half.replace("word", "term") + " and no more of it than that"),
+    ]
+    assert contaminations(spark, own, items, "doc_id", "item_id", "matched", "changed_slots", "verbatim") == [(1, 1, 24, 0, False), (2, 1, 23, 0, False), (3, 2, 19, 2, False)]
+
+
 def test_quality(spark, empty):
     rng = random.Random(7)
     good = lambda: " ".join(rng.choice(["plain", "words", "in", "a", "row"]) for _ in range(40))
