@@ -37,7 +37,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: the words taken over the document's, rounded. Rows that share an id share the largest count."""
-    copies = mix_sources(docs).select(F.col("doc_id").alias("mixed"), F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + 0.5).cast("int").alias("copies"))
+    copies = mix_sources(docs, carry=True).select(F.col("doc_id").alias("mixed"), F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + 0.5).cast("int").alias("copies"))
     copies = copies.groupBy("mixed").agg(F.max("copies").alias("copies")).filter("copies > 0")
     joined = docs.select(*COLUMNS).join(copies, F.col("doc_id").eqNullSafe(F.col("mixed")))
     return joined.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)

@@ -41,7 +41,7 @@ def source_targets(totals: DataFrame, weights: tuple[float, ...], most_repeats:
     return ranked.withColumn("target", F.least(F.col("most").cast("double"), F.col("weight") * F.max("level").over(everything))).select("src", "place", "source_size", "target")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most_repeats: int = 3, block: int = BLOCK, shard_words: int = SHARD_WORDS, seed: str = "mix") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most_repeats: int = 3, block: int = BLOCK, shard_words: int = SHARD_WORDS, seed: str = "mix", carry: bool = False) -> DataFrame:
     """How many words of each document the mix takes.
 
     ``docs`` has doc_id, text and source; nothing else is read. Sources in code point order, null last, have
@@ -52,6 +52,10 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most_re
     are documents of their own. A source whose words in a shard fill no block is taken from in other shards
     only. An empty table, or one without words, gives targets of 0. Reruns agree: order and places come from
     digests of ``seed`` and ids.
+
+    A shard takes whole blocks only, so a source whose cells are small stays below its target, further the more
+    shards there are. With ``carry`` a source has one ring and one quota over all shards, which are then only parts
+    of the ring, and each source's total is within a few blocks of its target whatever the number of shards.
     """
     sized = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -63,7 +67,9 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most_re
     words = totals.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("n")).first()["n"]
     shards = max(1, -(-words // shard_words))
     sized = sized.withColumn("shard", _number("digest") % F.lit(shards))
-    cells = sized.groupBy("src", "shard").agg(F.sum("size").alias("cell_size")).join(source_targets(totals, weights, most_repeats), "src")
+    parts = sized.groupBy("src", "shard").agg(F.sum("size").alias("cell_size"))
+    own = totals.select("src", F.lit(0).cast("long").alias("shard"), F.col("source_size").alias("cell_size")) if carry else parts
+    cells = own.join(source_targets(totals, weights, most_repeats), "src")
     cells = cells.withColumn("share", F.when(F.col("source_size") > 0, F.col("target") * F.col("cell_size") / F.col("source_size") / block).otherwise(F.lit(0.0)))
     # The divisor that apportions all blocks lies between sum / (blocks + sources / 2) and sum / (blocks - sources / 2),
     # so only the few quotients of each source between these two need ranking.
@@ -77,12 +83,21 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most_re
     seats = cells.filter(F.col("possible") > F.col("sure")).select("src", "shard", "place", "share", "open", F.explode(F.sequence(F.col("sure") + 1, F.col("possible"))).alias("seat"))
     ranked = seats.withColumn("rank", F.row_number().over(Window.partitionBy("shard").orderBy((F.col("share") / (F.col("seat") * 2 - 1)).desc(), "place", "seat")))
     won = ranked.filter(F.col("rank") <= F.col("open")).groupBy("src", "shard").agg(F.count("*").alias("won"))
+    quota = (F.col("sure") + F.coalesce("won", F.lit(0))) * block
+    if carry:
+        # A source that is taken as often as may be is taken whole, without a rest below a block.
+        quota = F.when(F.col("target") >= F.col("cell_size") * most_repeats, F.col("cell_size") * most_repeats).otherwise(quota)
     quotas = cells.join(won, ["src", "shard"], "left").select(
         "src", "shard", "cell_size", "source_size", "target",
-        ((F.col("sure") + F.coalesce("won", F.lit(0))) * block).alias("quota"),
+        quota.alias("quota"),
         (_number(F.md5(F.concat(F.lit(seed), F.lit("|"), "src", F.lit("|"), F.col("shard").cast("string")))) % F.greatest(F.lit(1), F.ceil(F.col("cell_size") / block)) * block).alias("first"),
     )
-    placed = sized.join(quotas, ["src", "shard"]).withColumn("end", F.sum("size").over(Window.partitionBy("src", "shard").orderBy("digest", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)))
+    end = F.sum("size").over(Window.partitionBy("src", "shard").orderBy("digest", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
+    if carry:
+        before = F.sum("cell_size").over(Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
+        quotas = parts.select("src", "shard", F.coalesce(before, F.lit(0)).alias("base")).join(quotas.drop("shard"), "src")
+        end = end + F.col("base")
+    placed = sized.join(quotas, ["src", "shard"]).withColumn("end", end)
     begin = F.col("end") - F.col("size")
     whole = F.when(F.col("cell_size") > 0, F.floor(F.col("quota") / F.greatest(F.col("cell_size"), F.lit(1)))).otherwise(F.lit(0))
     stop = F.col("first") + F.col("quota") - whole * F.col("cell_size")

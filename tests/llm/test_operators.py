@@ -149,6 +149,18 @@ def test_mixing_reshares(spark):
     assert found["a"] == 30 and found["b"] == pytest.approx(1980 * 2 / 3) and found["c"] == pytest.approx(1980 / 3)
 
 
+def test_mixing_carries_between_shards(spark):
+    """Sources meet their targets though their documents are alone in their cells."""
+    own = [(i, "w " * 20, "a") for i in range(300)] + [(1000 + i, "w " * 200, "b") for i in range(300)] + [(5000, "w " * 9, "c")]
+    docs = spark.createDataFrame(own, "doc_id long, text string, source string")
+    for words in (1 << 19, 100):
+        found = mixing.mix_sources(docs, shard_words=words, carry=True).toPandas()
+        by = found.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
+        assert len(found) == len(own) and (found["taken"] <= 3 * found["size"]).all()
+        assert ((by["taken"] - by["target"]).abs() <= 128).all() and by["taken"]["a"] == 18000 and by["taken"]["c"] == 27
+        assert (found["taken"][found["source"] == "a"] == 60).all()
+
+
 def test_url_filter(spark):
     urls = ["http://www.example.com/en/x", "http://a.example.com/en/", "http://example.com", "http://example.com/de?x=/en/", "https://shop.net/es/a", "https://net/fr/", "ftp://X.NET/fr#/", "no url", "", None, "http://example.com:80/en/", "http://xcom/", "http://COM/#"]
     rules = spark.createDataFrame([("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")], url_filter.RULES)
