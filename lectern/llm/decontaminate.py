@@ -3,7 +3,8 @@
 Numbers, names and units become typed placeholders. Windows of such templates are joined by hash, and a match
 counts where the slots' values of item and document correspond one to one, so that verbatim copies and
 re-parameterised questions are found alike and mere likeness of form is not. Windows of neighbouring offsets are
-united, so that inserted and deleted words do not split a match.
+united, so that inserted and deleted words do not split a match. Capitalised words at the start of a sentence are
+read both as words and as names, and windows of few words are also joined by their exact values.
 """
 
 from __future__ import annotations
@@ -23,16 +24,21 @@ WIDTH, LEAST = 8, 4
 # Words that stand for numbers, and units of measure.
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half".split()
 UNITS = "mm cm dm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg t gram grams kilogram kilograms ton tons oz ounce ounces lb lbs pound pounds ml cl l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years meter meters metre metres kilometer kilometers kilometre kilometres centimeter centimeters centimetre centimetres mph kmh hz khz mhz ghz w kw mw v kv a ma j kj cal kcal pa kpa bar usd eur gbp dollar dollars euro euros cent cents percent degree degrees".split()
+#: Units that are common words, and count as units after a number only.
+WORDS = {b"in", b"a"}
 LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
+#: Readings of a text: sentence-first capitalised words as words, or as names; exact values.
+AS_WORDS, AS_NAMES, EXACT = 0, 1, 2
 EDGES = b"\"'`.,;:!?()[]{}<>*_#$%&|~^+=/\\-"
-WINDOWS = "hash long, key long, row long, at array<long>, slots array<string>"
-ITEM_WINDOWS = "hash long, item long, item_at array<long>, item_slots array<string>, item_tokens long"
+WINDOWS = "hash long, key long, row long, reading int, at array<long>, slots array<string>"
+ITEM_WINDOWS = "hash long, item long, item_reading int, item_at array<long>, item_slots array<string>, item_tokens long"
 RESULT = "doc_id long, item_id long, matched long, item_tokens long, share double, changed_slots long, verbatim boolean, contaminated boolean"
 
 
 class Tokens(dict):
     """What a raw word is: a hash with, in the lowest bits, its type, whether it ends a sentence, and whether the parts of
-    a name or of a number in words can follow (16) or precede it (32) as one value; 0 if nothing is left of it."""
+    a name or of a number in words can follow (16) or precede it (32) as one value, and whether it is a unit after a
+    number only (64); 0 if nothing is left of it."""
 
     numbers, units = {w.encode() for w in NUMBERS}, {w.encode() for w in UNITS}
 
@@ -56,7 +62,7 @@ class Tokens(dict):
                 if text[0].isupper() and len(text) > 1 and text[1:].islower():
                     kind = NAME
             part = kind == NAME or low in self.numbers
-            value = xxhash.xxh3_64_intdigest(low) & ~63 | 8 | kind << 1 | ends | (part and word.endswith(core)) << 4 | (part and word.startswith(core)) << 5
+            value = xxhash.xxh3_64_intdigest(low) & ~127 | 8 | kind << 1 | ends | (part and word.endswith(core)) << 4 | (part and word.startswith(core)) << 5 | (low in WORDS) << 6
         self[word] = value
         return value
 
@@ -64,9 +70,9 @@ class Tokens(dict):
 SLOT_HASH = np.array([0, 0x51AF3C, 0x9D2E71, 0xC3B8A5], np.uint64)
 
 
-def templates(texts: list[bytes | None], known: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
-    """Of all texts' tokens: template hashes, types, offsets of texts, raw words, which of these are tokens, and which
-    tokens are further parts of the name or number before them."""
+def templates(texts: list[bytes | None], known: Tokens) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Of all texts' tokens: offsets of texts, raw words, which of these are tokens, which tokens may be names by their
+    place only, and for each reading: hashes, types, and which tokens are further parts of the value before them."""
     split = [(t or b"").split() for t in texts]
     words = [w for own in split for w in own]
     codes = np.fromiter((known[w] for w in words), np.uint64, len(words))
@@ -77,15 +83,25 @@ def templates(texts: list[bytes | None], known: Tokens) -> tuple[np.ndarray, np.
     after = np.ones(len(words), bool)
     after[1:] = ends[:-1]
     after[starts[counts > 0]] = True
-    kinds = (codes >> np.uint64(1) & np.uint64(3)).astype(np.int64)
-    kinds[after & (kinds == NAME)] = LITERAL
-    hashes = np.where(kinds == LITERAL, codes & ~np.uint64(63), SLOT_HASH[kinds])
-    joined = np.zeros(len(words), bool)
-    joined[1:] = (codes[:-1] & np.uint64(16) != 0) & (codes[1:] & np.uint64(32) != 0) & (kinds[1:] == kinds[:-1]) & (kinds[1:] != LITERAL)
-    joined[starts[counts > 0]] = False
-    place = np.concatenate(([0], np.cumsum(token)))
-    offsets = place[np.append(starts, len(words))]
-    return hashes[token], kinds[token], offsets, words, np.flatnonzero(token), joined[token]
+    plain = (codes >> np.uint64(1) & np.uint64(3)).astype(np.int64)
+    numbered = np.zeros(len(words), bool)
+    numbered[1:] = plain[:-1] == NUMBER
+    numbered[starts[counts > 0]] = False
+    names = plain.copy()
+    names[(codes & np.uint64(64) != 0) & ~numbered] = LITERAL
+    first = after & (names == NAME)
+    kinds = np.where(first, LITERAL, names)
+    follows = np.zeros(len(words), bool)
+    follows[1:] = (codes[:-1] & np.uint64(16) != 0) & (codes[1:] & np.uint64(32) != 0)
+    follows[starts[counts > 0]] = False
+    values, readings = codes & ~np.uint64(127), []
+    for own in (kinds, names):
+        joined = np.zeros(len(words), bool)
+        joined[1:] = follows[1:] & (own[1:] == own[:-1]) & (own[1:] != LITERAL)
+        readings.append((np.where(own == LITERAL, values, SLOT_HASH[own])[token], own[token], joined[token]))
+    # Types of exact values depend on the word alone, so that copies agree wherever they stand.
+    readings.append((values[token], plain[token], np.zeros(int(token.sum()), bool)))
+    return np.concatenate(([0], np.cumsum(token)))[np.append(starts, len(words))], words, np.flatnonzero(token), first[token], readings
 
 
 def merged(hashes: np.ndarray, kinds: np.ndarray, offsets: np.ndarray, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -99,12 +115,56 @@ def _windows(hashes: np.ndarray, kinds: np.ndarray, offsets: np.ndarray, width:
     from lectern.llm.base import mixed, window_hashes, window_starts
 
     starts, owner = window_starts(offsets, width)
-    literal = np.concatenate(([0], np.cumsum(kinds == LITERAL)))
-    enough = (literal[starts + width] - literal[starts]) * 2 >= width
+    enough = _count(kinds == LITERAL, starts, starts + width) * 2 >= width
     starts, owner = starts[enough], owner[enough]
     return mixed(window_hashes(hashes, width)[starts], 40 + width), starts, owner
 
 
+def _exact_windows(hashes: np.ndarray, special: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and text of each window of exact values whose tokens are ``special`` for more than a half, or near it."""
+    from lectern.llm.base import mixed, window_hashes, window_starts
+
+    starts, owner = window_starts(offsets, width)
+    few = _count(special, starts, starts + width) * 2 >= width - 1
+    starts, owner = starts[few], owner[few]
+    return mixed(window_hashes(hashes, width)[starts], 140 + width), starts, owner
+
+
+def _count(flags: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    sums = np.concatenate(([0], np.cumsum(flags)))
+    return sums[stops] - sums[starts]
+
+
+class Text:
+    """Some texts' tokens in all readings."""
+
+    def __init__(self, texts: list[bytes | None], known: Tokens):
+        self.first, self.words, self.token, self.ambiguous, readings = templates(texts, known)
+        self.readings = [merged(hashes, kinds, self.first, joined) for hashes, kinds, joined in readings]
+        self.lengths = np.array([np.diff(offsets) for _, _, offsets, _ in self.readings])
+        kinds = self.readings[EXACT][1]
+        # Whether a word is a name depends on its case, which exact values do not have.
+        self.numeric = np.where(kinds == NAME, LITERAL, kinds)
+
+    def windows(self, reading: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, start and text of the windows of a reading; as names, only those that differ from those as words."""
+        hashes, kinds, offsets, bounds = self.readings[reading]
+        if reading == EXACT:
+            return _exact_windows(hashes, kinds != LITERAL, offsets, width)
+        found, starts, owner = _windows(hashes, kinds, offsets, width)
+        if reading == AS_NAMES:
+            own = _count(self.ambiguous, bounds[starts], bounds[starts + width]) > 0
+            found, starts, owner = found[own], starts[own], owner[own]
+        return found, starts, owner
+
+    def at(self, reading: int, start: int, owner: int, width: int) -> list[int]:
+        return (self.readings[reading][3][start : start + width + 1] - self.first[owner]).tolist()
+
+    def slots(self, reading: int, start: int, width: int) -> list[str]:
+        _, kinds, _, bounds = self.readings[reading]
+        return _slots(self.words, self.token, self.numeric if reading == EXACT else kinds, bounds, start, width)
+
+
 def _slots(words: list[bytes], token: np.ndarray, kinds: np.ndarray, bounds: np.ndarray, start: int, width: int) -> list[str]:
     values = ((i, b" ".join(words[k].strip(EDGES) for k in token[bounds[start + i] : bounds[start + i + 1]])) for i in range(width) if kinds[start + i] != LITERAL)
     return [f"{i}:{kinds[start + i]}:{value.decode('utf-8', 'replace').lower()}" for i, value in values]
@@ -167,6 +227,23 @@ def united(windows: list[tuple], n: int, least_share: float) -> tuple[int, int,
     return best
 
 
+def judged(windows: list[tuple], n: int, least_share: float) -> tuple[int, int, int] | None:
+    """The best of ``united`` over the windows of all readings and of some, so that slots of one reading never undo a match of another."""
+    plain = {(tuple(w[2]), tuple(w[4])) for w in windows if max(w[0], w[1]) == AS_WORDS}
+    levels = [(max(w[0], w[1]), w[2:]) for w in windows]
+    levels = [(level, w) for level, w in levels if level != AS_NAMES or (tuple(w[0]), tuple(w[2])) not in plain]
+    best, seen = None, set()
+    for wanted in ({AS_WORDS, AS_NAMES, EXACT}, {AS_WORDS, EXACT}, {AS_WORDS, AS_NAMES}, {AS_WORDS}, {EXACT}):
+        use = frozenset(wanted & {level for level, _ in levels})
+        if use and use not in seen:
+            seen.add(use)
+            found = united([w for level, w in levels if level in use], n, least_share)
+            best = max((x for x in (best, found) if x), default=None)
+        if best == (n, 0, -1):
+            break
+    return best
+
+
 def contaminated_documents(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least_share: float = 0.6) -> DataFrame:
     """Documents that hold a benchmark item, word for word or with other numbers, names and units.
 
@@ -178,8 +255,9 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, width: int = W
 
     A pair counts when matched tokens are ``least_share`` of the item's and the slots' values correspond one to
     one by type. Windows of offsets that differ by half of the item's tokens or ``WIDTH`` at most are united; names of
-    several words, and numbers in several, are one slot. Items shorter than ``width`` match as a whole; those of fewer than 4 tokens, null or empty texts,
-    and windows of more placeholders than words match nothing. A null doc_id stays null. Rows that share an id
+    several words, and numbers in several, are one slot. Items shorter than ``width`` match as a whole; those of fewer than 4 tokens, and null or empty
+    texts match nothing. Windows of more placeholders than words match by their exact values only. A capitalised word
+    at the start of a sentence is read as a word and as a name; all those of a window are read alike. A null doc_id stays null. Rows that share an id
     give one row for each item. Items may be many: a filter of their windows, of bounded size, is broadcast, and
     the windows that pass it are joined with them.
     """
@@ -190,33 +268,35 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, width: int = W
     def template(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Tokens()
         for part in slices(batches):
-            hashes, kinds, offsets, words, token, joined = templates(raw(part.column("text")), known)
+            own = Text(raw(part.column("text")), known)
+            offsets, words, token = own.first, own.words, own.token
+            hashes, kinds, _ = templates(raw(part.column("text")), known)[-1][AS_WORDS]
             names, n = [], np.diff(offsets)
-            slots = np.diff(merged(hashes, kinds, offsets, joined)[2])
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 values = [words[token[i]].strip(EDGES).lower() if kinds[i] != LITERAL else None for i in range(a, b)]
                 first: dict = {}
                 pattern = [None if v is None else first.setdefault(v, len(first)) for v in values]
                 names.append(xxhash.xxh3_128_hexdigest(hashes[a:b].tobytes() + repr(pattern).encode()))
-            yield pa.record_batch([part.column("item"), part.column("text"), pa.array(names), pa.array(n), pa.array(slots)], names=["item", "text", "template", "n", "m"])
+            yield pa.record_batch([part.column("item"), part.column("text"), pa.array(names), pa.array(n), pa.array(own.lengths.T.tolist(), pa.list_(pa.int64()))], names=["item", "text", "template", "n", "m"])
 
-    classes = items.mapInArrow(template, "item long, text string, template string, n long, m long").filter(F.col("n") >= LEAST)
+    classes = items.mapInArrow(template, "item long, text string, template string, n long, m array<long>").filter(F.col("n") >= LEAST)
     classes = cut(classes.groupBy("template").agg(F.min("item").alias("item"), F.min_by("text", "item").alias("text"), F.min_by("m", "item").alias("m")))
-    widths = sorted({r["m"] for r in classes.select(F.least("m", F.lit(width)).cast("int").alias("m")).distinct().collect()})
+    lengths = classes.select(F.transform("m", lambda m: F.least(m, F.lit(width))).alias("m")).distinct().collect()
+    # In each reading, items have windows of a few widths.
+    steps = sorted({(reading, w) for r in lengths for reading, w in enumerate(r["m"])})
 
     def item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Tokens()
         for part in slices(batches):
-            hashes, kinds, first, words, token, joined = templates(raw(part.column("text")), known)
-            hashes, kinds, offsets, bounds = merged(hashes, kinds, first, joined)
-            lengths, tokens, ids = np.diff(offsets), np.diff(first), part.column("item").to_pylist()
-            out: list[list] = [[], [], [], [], []]
-            for w in widths:
-                for h, start, owner in zip(*(x.tolist() for x in _windows(hashes, kinds, offsets, w)), strict=True):
-                    if w == min(width, lengths[owner]):
-                        for column, value in zip(out, (h, ids[owner], (bounds[start : start + w + 1] - first[owner]).tolist(), _slots(words, token, kinds, bounds, start, w), tokens[owner]), strict=True):
+            texts, ids = Text(raw(part.column("text")), known), part.column("item").to_pylist()
+            out: list[list] = [[], [], [], [], [], []]
+            for reading, w in steps:
+                for h, start, owner in zip(*(x.tolist() for x in texts.windows(reading, w)), strict=True):
+                    if w == min(width, texts.lengths[reading][owner]):
+                        for column, value in zip(out, (h, ids[owner], reading, texts.at(reading, start, owner, w), texts.slots(reading, start, w), texts.lengths[EXACT][owner]), strict=True):
                             column.append(value)
-            yield pa.record_batch([pa.array(np.array(out[0], np.uint64).view(np.int64)), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.list_(pa.string())), pa.array(out[4], pa.int64())], names=["hash", "item", "item_at", "item_slots", "item_tokens"])
+            types = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.int64())
+            yield pa.record_batch([pa.array(np.array(out[0], np.uint64).view(np.int64)), *(pa.array(c, t) for c, t in zip(out[1:], types, strict=True))], names=["hash", "item", "item_reading", "item_at", "item_slots", "item_tokens"])
 
     wanted = cut(classes.select("item", "text").mapInArrow(item_windows, ITEM_WINDOWS))
 
@@ -235,31 +315,29 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, width: int = W
     def doc_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Tokens()
         for part in slices(batches, most=2 << 20):
-            texts = raw(part.column("text"))
-            hashes, kinds, first, words, token, joined = templates(texts, known)
-            hashes, kinds, offsets, bounds = merged(hashes, kinds, first, joined)
-            ids = np.asarray(part.column("key")).astype(np.int64)
-            for w in widths:
-                found, starts, owner = _windows(hashes, kinds, offsets, w)
-                own = passing.value.has(found)
-                found, starts, owner = found[own], starts[own], owner[own]
+            own = raw(part.column("text"))
+            texts, ids = Text(own, known), np.asarray(part.column("key")).astype(np.int64)
+            for reading, w in steps:
+                found, starts, owner = texts.windows(reading, w)
+                passed = passing.value.has(found)
+                found, starts, owner = found[passed], starts[passed], owner[passed]
                 if len(found):
-                    names = {o: xxhash.xxh3_64_intdigest(texts[o]) for o in set(owner.tolist())}
-                    at = [(bounds[s : s + w + 1] - first[o]).tolist() for s, o in zip(starts.tolist(), owner.tolist(), strict=True)]
-                    slots = [_slots(words, token, kinds, bounds, s, w) for s in starts.tolist()]
+                    names = {o: xxhash.xxh3_64_intdigest(own[o]) for o in set(owner.tolist())}
+                    at = [texts.at(reading, s, o, w) for s, o in zip(starts.tolist(), owner.tolist(), strict=True)]
+                    slots = [texts.slots(reading, s, w) for s in starts.tolist()]
                     row = np.array([names[o] for o in owner.tolist()], np.uint64).view(np.int64)
-                    yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(ids[owner]), pa.array(row), pa.array(at, pa.list_(pa.int64())), pa.array(slots, pa.list_(pa.string()))], names=["hash", "key", "row", "at", "slots"])
+                    yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(ids[owner]), pa.array(row), pa.array(np.full(len(found), reading, np.int32)), pa.array(at, pa.list_(pa.int64())), pa.array(slots, pa.list_(pa.string()))], names=["hash", "key", "row", "reading", "at", "slots"])
 
     # Rows that share an id are told apart by their texts; windows of one text and item meet in one row.
     met = rows.mapInArrow(doc_windows, WINDOWS).join(wanted, "hash")
-    met = met.groupBy("key", "row", "item", "item_tokens").agg(F.collect_set(F.struct("at", "slots", "item_at", "item_slots")).alias("windows"))
+    met = met.groupBy("key", "row", "item", "item_tokens").agg(F.collect_set(F.struct("reading", "item_reading", "at", "slots", "item_at", "item_slots")).alias("windows"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             for key, item, n, windows in zip(*(batch.column(c) for c in ("key", "item", "item_tokens", "windows")), strict=True):
                 n = n.as_py()
-                best = united([tuple(w.values()) for w in windows.as_py()], n, least_share)
+                best = judged([tuple(w.values()) for w in windows.as_py()], n, least_share)
                 if best:
                     for column, value in zip(out, (key.as_py(), item.as_py(), n, *best), strict=True):
                         column.append(value)

@@ -255,6 +255,24 @@ def test_decontamination_unites_offsets(spark):
     assert contaminations(spark, own, items, "doc_id", "item_id", "matched", "changed_slots", "verbatim") == [(1, 1, 24, 0, False), (2, 1, 23, 0, False), (3, 2, 19, 2, False)]
 
 
+def test_decontamination_sentence_starts_and_exact_values(spark):
+    """Names that begin sentences are slots, number-heavy items match word for word, and common words are no units."""
+    items = [
+        (1, "Tom has 5 red apples. Tom buys 3 more apples. Tom eats 2 green apples. Tom sells 4 old apples."),
+        (2, "Compute 12 plus 7 9 minus 3 kg 4 m 18 5 g 6 h 2 8 20"),
+        (3, "11 22 33 44 55 66 77 88 99"),
+        (4, "What is in a box in a house in a town"),
+    ]
+    own = [
+        (1, "so: Ann has 5 red apples. Ann buys 3 more apples. Ann eats 2 green apples. Ann sells 4 old apples. So"),
+        (2, "we saw Compute 12 plus 7 9 minus 3 kg 4 m 18 5 g 6 h 2 8 20 there"),
+        (3, "we saw 11 22 33 44 55 66 77 88 99 there"),
+        (4, "we saw 11 22 33 44 12 13 14 15 16 there"),
+        (5, "so what is in a box in a house in a town then"),
+    ]
+    assert contaminations(spark, own, items, "doc_id", "item_id", "matched", "verbatim") == [(1, 1, 20, False), (2, 2, 18, True), (3, 3, 9, True), (5, 4, 11, True)]
+
+
 def test_quality(spark, empty):
     rng = random.Random(7)
     good = lambda: " ".join(rng.choice(["plain", "words", "in", "a", "row"]) for _ in range(40))
