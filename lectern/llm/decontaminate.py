@@ -250,8 +250,8 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, width: int = W
     ``docs`` has doc_id and text, ``benchmark`` item_id and text; nothing else is read. Returns a row for each
     document and item found in it, and none for other documents: doc_id, item_id, matched (tokens of the item in
     template windows found near one another), item_tokens, share, changed_slots (slot values that differ), verbatim
-    (no such slot, and all at one offset), contaminated (true). Of items with the same template and the same slots in common, the least item_id stands
-    for all.
+    (no such slot, and all at one offset), contaminated (true). Each item that a document matches has its row, also items of
+    one template or one text.
 
     A pair counts when matched tokens are ``least_share`` of the item's and the slots' values correspond one to
     one by type. Windows of offsets that differ by half of the item's tokens or ``WIDTH`` at most are united; names of
@@ -265,22 +265,22 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, width: int = W
     rows = docs.select(id_key().alias("key"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item"), F.col("text").cast("string").alias("text"))
 
-    def template(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Tokens()
         for part in slices(batches):
-            own = Text(raw(part.column("text")), known)
-            offsets, words, token = own.first, own.words, own.token
-            hashes, kinds, _ = templates(raw(part.column("text")), known)[-1][AS_WORDS]
-            names, n = [], np.diff(offsets)
-            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                values = [words[token[i]].strip(EDGES).lower() if kinds[i] != LITERAL else None for i in range(a, b)]
-                first: dict = {}
-                pattern = [None if v is None else first.setdefault(v, len(first)) for v in values]
-                names.append(xxhash.xxh3_128_hexdigest(hashes[a:b].tobytes() + repr(pattern).encode()))
-            yield pa.record_batch([part.column("item"), part.column("text"), pa.array(names), pa.array(n), pa.array(own.lengths.T.tolist(), pa.list_(pa.int64()))], names=["item", "text", "template", "n", "m"])
-
-    classes = items.mapInArrow(template, "item long, text string, template string, n long, m array<long>").filter(F.col("n") >= LEAST)
-    classes = cut(classes.groupBy("template").agg(F.min("item").alias("item"), F.min_by("text", "item").alias("text"), F.min_by("m", "item").alias("m")))
+            texts, names = Text(raw(part.column("text")), known), []
+            for i in range(part.num_rows):
+                a, b = texts.first[i], texts.first[i + 1]
+                parts = [b" ".join(texts.words[k].strip(EDGES).decode("utf-8", "replace").lower().encode() for k in texts.token[a:b])]
+                for _, kinds, offsets, bounds in texts.readings:
+                    parts += [kinds[offsets[i] : offsets[i + 1]].tobytes(), (bounds[offsets[i] : offsets[i + 1]] - a).tobytes()]
+                names.append(xxhash.xxh3_64_intdigest(b"|".join(parts)))
+            yield pa.record_batch([part.column("item"), part.column("text"), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(texts.lengths.T.tolist(), pa.list_(pa.int64()))], names=["item", "text", "class", "m"])
+
+    # Only items whose tokens are the same in all readings are a class; matches are joined back to all its members.
+    listed = cut(items.mapInArrow(named, "item long, text string, class long, m array<long>").filter(F.col("m")[EXACT] >= LEAST))
+    members = listed.select("item", "class").distinct()
+    classes = listed.groupBy(F.col("class").alias("item")).agg(F.min("text").alias("text"), F.min("m").alias("m"))
     lengths = classes.select(F.transform("m", lambda m: F.least(m, F.lit(width))).alias("m")).distinct().collect()
     # In each reading, items have windows of a few widths.
     steps = sorted({(reading, w) for r in lengths for reading, w in enumerate(r["m"])})
@@ -344,6 +344,7 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, width: int = W
             yield pa.record_batch([pa.array(c, pa.int64()) for c in out], names=["key", "item", "item_tokens", "matched", "same", "runs"])
 
     found = met.mapInArrow(judge, "key long, item long, item_tokens long, matched long, same long, runs long")
+    found = found.withColumnRenamed("item", "class").join(members, "class")
     best = found.groupBy("key", "item", "item_tokens").agg(F.max(F.struct("matched", "same", "runs")).alias("best"))
     return best.select(
         F.when(F.col("key") != -(2**63), F.col("key")).alias("doc_id"),

@@ -273,6 +273,14 @@ def test_decontamination_sentence_starts_and_exact_values(spark):
     assert contaminations(spark, own, items, "doc_id", "item_id", "matched", "verbatim") == [(1, 1, 20, False), (2, 2, 18, True), (3, 3, 9, True), (5, 4, 11, True)]
 
 
+def test_decontamination_keeps_links_of_one_template(spark):
+    """Items of one template, and items of one text, each have their own row."""
+    text = "Anna has {} apples and gives {} kg of them to her friend Boris before noon each day"
+    items = [(3, text.format(12, 5)), (7, text.format(31, 8)), (9, text.format(31, 8) + ".")]
+    own = [(1, "We read that " + text.format(31, 8) + " indeed")]
+    assert contaminations(spark, own, items, "doc_id", "item_id", "changed_slots", "verbatim") == [(1, 3, 2, False), (1, 7, 0, True), (1, 9, 0, True)]
+
+
 def test_quality(spark, empty):
     rng = random.Random(7)
     good = lambda: " ".join(rng.choice(["plain", "words", "in", "a", "row"]) for _ in range(40))
