@@ -25,14 +25,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near-duplicates (five words, similarity 0.8)."""
-    others = near_duplicates(docs, percent=80).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(others, "doc_id", "left_anti").select(*COLUMNS)
+    others = near_duplicates(docs, percent=80).filter(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    return docs.select(*COLUMNS).join(others, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    leaks = contaminated_documents(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+    leaks = contaminated_documents(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("gone")).distinct()
+    return docs.select(*COLUMNS).join(leaks, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti").select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,6 +56,17 @@ def test_pipeline_stages(spark, sf):
     assert max(r["count"] for r in mixed.groupBy("doc_id").count().collect()) <= 3
 
 
+def test_pipeline_null_ids(spark, sf):
+    """A document without an id is deduplicated and decontaminated like others."""
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first()["text"]
+    copy = " ".join(f"w{i}" for i in range(60))
+    own = [(None, f"so {item} it is", None, None, 1), (1, copy, None, None, 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    assert [r["doc_id"] for r in corpus_pipeline.decontamination(spark, spark.createDataFrame(own, schema), sf).collect()] == [1]
+    near = spark.createDataFrame([(None, copy, None, None, 1), (2, copy + " more", None, None, 1), (3, "else", None, None, 1)], schema)
+    assert sorted(map(str, (r["doc_id"] for r in corpus_pipeline.near_dedup(spark, near, sf).collect()))) == ["3", "None"]
+
+
 def test_pipeline_runs(spark, sf):
     found = corpus_pipeline.run(spark, sf)
     assert found.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and found.count() > 0
