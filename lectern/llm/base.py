@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import ctypes.util
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +23,17 @@ REMEMBERED_WORDS = 250_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or one that was set as checkpoint folder before.
+
+    Only where the master is local, so that there is no other machine, a temporary one stands in for it.
+    """
     context = spark.sparkContext
     there = context.getConf().get("spark.checkpoint.dir")
     if there:
         return there
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -140,9 +145,10 @@ def window_starts(offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarr
     return offsets[:-1][owner] + within, owner
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Ascending non-negative integers as variable-length differences."""
+def _packed(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ascending non-negative integers, one after another, each as variable-length differences: bytes, and where each list's begin."""
     gaps = np.diff(values.astype(np.uint64), prepend=np.uint64(0))
+    gaps[starts] = values[starts]
     sizes = np.ones(len(gaps), np.int64)
     for bits in range(7, 64, 7):
         sizes += gaps >= np.uint64(1) << np.uint64(bits)
@@ -151,11 +157,11 @@ def packed(values: np.ndarray) -> bytes:
     for i in range(int(sizes.max(initial=0))):
         own = sizes > i
         out[at[own] + i] = (gaps[own] >> np.uint64(7 * i)).astype(np.uint8) & 127 | (sizes[own] > i + 1).astype(np.uint8) << 7
-    return out.tobytes()
+    return out, at[starts]
 
 
 def unpacked(blob: bytes) -> np.ndarray:
-    """The values of ``packed``."""
+    """The values of one list of ``_packed``."""
     data = np.frombuffer(blob, np.uint8)
     if not len(data):
         return np.zeros(0, np.uint64)
@@ -164,39 +170,35 @@ def unpacked(blob: bytes) -> np.ndarray:
     return np.cumsum(np.add.reduceat((data & 127).astype(np.uint64) << (place * 7).astype(np.uint64), first))
 
 
-#: A sketch has 2 ** CELL_BITS counters; a merging task has those whose number has the same rest by the number of tasks.
-CELL_BITS = 36
+#: A sketch has 2 ** CELL_BITS counters in CHUNKS parts: a part, 2 ** 25 counters, is merged by itself, so that a
+#: merging task's memory is fixed whatever the input.
+CELL_BITS, CHUNKS = 36, 1 << 11
+#: Counters of a part that are sorted at once; more of them are added to a table of the whole part.
+SORTED_CELLS = 2_000_000
 PARTIAL = "chunk int, cells binary"
-#: A filter that goes to all executors has so many bits at most (64 MB).
+#: A filter that goes to all executors has so many bits at most (64 MB), and so many from each part.
 FILTER_BITS = 1 << 29
+CHUNK_BITS = FILTER_BITS // CHUNKS
 
 
-def partial_sketch(hashes: np.ndarray, chunks: int) -> pa.RecordBatch:
+def partial_sketch(hashes: np.ndarray) -> pa.RecordBatch:
     """One task's counters above 0, by chunk: ascending, those of 2 or more twice. Schema PARTIAL.
 
     Only touched counters are sent on, about 2 bytes each, so that what is shuffled follows the input
     whatever the number of tasks.
     """
-    cells = np.sort(hashes >> np.uint64(64 - CELL_BITS))
+    cells = hashes >> np.uint64(64 - CELL_BITS)
+    # A chunk is a run of neighbouring counters, so that one sort serves all chunks.
+    cells.sort()
     if len(cells):
         same = np.concatenate(([False], cells[1:] == cells[:-1]))
         cells = cells[~(same & np.concatenate(([False], same[:-1])))]
-    chunk, rest = cells % np.uint64(chunks), cells // np.uint64(chunks)
-    order = np.argsort(chunk.astype(np.uint16 if chunks < 1 << 16 else np.uint64), kind="stable")
-    chunk, rest = chunk[order], rest[order]
+    width = np.uint64((1 << CELL_BITS) // CHUNKS)
+    chunk = cells // width
     starts = np.flatnonzero(np.concatenate(([True], chunk[1:] != chunk[:-1]))) if len(chunk) else np.zeros(0, np.int64)
-    ends = np.append(starts[1:], len(chunk))
-    return pa.record_batch(
-        [pa.array(chunk[starts].astype(np.int32)), pa.array([packed(rest[a:b]) for a, b in zip(starts, ends, strict=True)], pa.binary())],
-        names=["chunk", "cells"],
-    )
-
-
-def power_of_2(least: float, most: int) -> int:
-    bits = 64
-    while bits < least and bits * 2 <= most:
-        bits *= 2
-    return bits
+    data, at = _packed(cells % width, starts)
+    blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(at, len(data)).astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+    return pa.record_batch([pa.array(chunk[starts].astype(np.int32)), blobs], names=["chunk", "cells"])
 
 
 def bit_places(cells: np.ndarray, bits: int | np.ndarray) -> list[np.ndarray]:
@@ -220,15 +222,86 @@ class Bits:
         first, second, third = bit_places(cells, self.bits)
         return self.table[first] & self.table[second] & self.table[third]
 
+    def folded(self) -> Bits:
+        """The same filter with the fewest bits that keep it less than a sixth full: places are the last bits of hashes, so halves are laid over each other."""
+        small = Bits(self.bits)
+        small.table = self.table
+        while small.bits > 64 and (half := small.table[: small.bits // 2] | small.table[small.bits // 2 :]).mean() < 1 / 6:
+            small.bits, small.table = small.bits // 2, half
+        return small
+
+
+class Once:
+    """The counters of a part that were touched at all, in a Bloom filter of fixed size."""
+
+    def __init__(self) -> None:
+        self.found = Bits(CHUNK_BITS)
+
+    def add(self, cells: np.ndarray) -> None:
+        self.found.add(cells)
+
+    def made(self) -> Bits:
+        return self.found.folded()
+
+
+class OnceTwice:
+    """Two Bloom filters of a part, both of fixed size: what meets itself in the once-seen filter goes to the twice-seen one."""
+
+    def __init__(self) -> None:
+        self.once, self.twice = Bits(1 << 21), Bits(CHUNK_BITS)
+
+    def add(self, cells: np.ndarray) -> None:
+        again = np.concatenate(([False], cells[1:] == cells[:-1])) if len(cells) else np.zeros(0, bool)
+        self.twice.add(cells[again])
+        cells = cells[~again]
+        self.twice.add(cells[self.once.has(cells)])
+        self.once.add(cells)
+
+    def made(self) -> Bits:
+        return self.twice.folded()
+
+
+class Counted:
+    """Count-min: the counters of a part, added up to 2. Few are kept as a list, more in a table of the part's whole width."""
+
+    def __init__(self) -> None:
+        self.held, self.n, self.table = [], 0, None
+
+    def add(self, cells: np.ndarray) -> None:
+        self.held.append(cells)
+        self.n += len(cells)
+        if self.n > SORTED_CELLS:
+            self._settle()
+
+    def _settle(self) -> None:
+        if self.table is None:
+            self.table = np.zeros((1 << CELL_BITS) // CHUNKS, np.uint8)
+        for cells in self.held:
+            again = np.concatenate(([False], cells[1:] == cells[:-1]))
+            at = cells.astype(np.int64)
+            self.table[at[~again]] = np.minimum(self.table[at[~again]] + 1, 2)
+            self.table[at[again]] = 2
+        self.held, self.n = [], 0
+
+    def made(self) -> Bits:
+        bits = Bits(CHUNK_BITS)
+        if self.table is not None:
+            self._settle()
+            bits.add(np.flatnonzero(self.table == 2).astype(np.uint64))
+        else:
+            cells = np.sort(np.concatenate(self.held))
+            bits.add(np.unique(cells[1:][cells[1:] == cells[:-1]]))
+        return bits.folded()
+
 
 class Filter:
-    """Bloom filters of all chunks, as one table that is broadcast: FILTER_BITS bits and 1 KB a chunk at most."""
+    """Bloom filters of all parts, as one table that is broadcast: FILTER_BITS bits at most."""
 
-    def __init__(self, chunks: int, rows: list):
-        sizes = np.full(chunks, 64, np.int64)
+    def __init__(self, rows: list):
+        sizes = np.full(CHUNKS, 64, np.int64)
         for row in rows:
             sizes[row["chunk"]] = len(row["bits"]) * 8
-        self.chunks, self.sizes = chunks, sizes.astype(np.uint64)
+        self.sizes = sizes.astype(np.uint64)
         self.starts = np.cumsum(sizes // 8) - sizes // 8
         self.table = np.zeros(int(sizes.sum()) // 8, np.uint8)
         for row in rows:
@@ -237,25 +310,33 @@ class Filter:
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
         cells = hashes >> np.uint64(64 - CELL_BITS)
-        chunk = (cells % np.uint64(self.chunks)).astype(np.int64)
-        rest, base = cells // np.uint64(self.chunks), self.starts[chunk]
+        width = np.uint64((1 << CELL_BITS) // CHUNKS)
+        chunk = (cells // width).astype(np.int64)
+        rest, base = cells % width, self.starts[chunk]
         found = np.ones(len(hashes), bool)
         for at in bit_places(rest, self.sizes[chunk]):
             found &= (self.table[base + (at >> 3)] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
         return found
 
 
-def merged_filter(partial: DataFrame, merge, chunks: int) -> Filter:
-    """The filter that ``merge`` makes of each chunk's partial sketches: (lists of counters, most bits) -> Bits or None."""
-    most = max(64, FILTER_BITS // chunks)
+def merged_filter(partial: DataFrame, kind: Callable[[], Once | OnceTwice | Counted]) -> Filter:
+    """The filter that ``kind`` makes of each part's partial sketches. A task meets its parts one after another and holds one."""
 
-    def one(table: pa.Table) -> pa.Table:
-        made = merge([unpacked(b) for b in table.column("cells").to_pylist()], most)
-        rows = [] if made is None else [(table.column("chunk")[0].as_py(), np.packbits(made.table).tobytes())]
-        return pa.table({"chunk": pa.array([r[0] for r in rows], pa.int32()), "bits": pa.array([r[1] for r in rows], pa.binary())})
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, None
 
-    return Filter(chunks, partial.groupBy("chunk").applyInArrow(one, "chunk int, bits binary").collect())
+        def done() -> pa.RecordBatch:
+            return pa.record_batch([pa.array([at], pa.int32()), pa.array([np.packbits(own.made().table).tobytes()], pa.binary())], names=["chunk", "bits"])
 
+        for batch in batches:
+            for chunk, cells in zip(batch.column("chunk").to_pylist(), batch.column("cells"), strict=True):
+                if chunk != at:
+                    if own is not None:
+                        yield done()
+                    at, own = chunk, kind()
+                own.add(unpacked(cells.as_py()))
+        if own is not None:
+            yield done()
+        release()
 
-def n_chunks(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return Filter(partial.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(merge, "chunk int, bits binary").collect())

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.base import PARTIAL, REMEMBERED_WORDS, Bits, cut, id_key, merged_filter, n_chunks, partial_sketch, power_of_2, raw, slices
+from lectern.llm.base import PARTIAL, REMEMBERED_WORDS, Once, cut, id_key, merged_filter, partial_sketch, raw, slices
 
 WIDTH, LEAST = 8, 4
 # Words that stand for numbers, and units of measure.
@@ -261,7 +261,7 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, width: int = W
     give one row for each item. Items may be many: a filter of their windows, of bounded size, is broadcast, and
     the windows that pass it are joined with them.
     """
-    spark, chunks = docs.sparkSession, n_chunks(docs.sparkSession)
+    spark = docs.sparkSession
     rows = docs.select(id_key().alias("key"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item"), F.col("text").cast("string").alias("text"))
 
@@ -302,15 +302,9 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, width: int = W
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield partial_sketch(np.asarray(batch.column("hash")).astype(np.int64).view(np.uint64), chunks)
+            yield partial_sketch(np.asarray(batch.column("hash")).astype(np.int64).view(np.uint64))
 
-    def any_of(lists: list[np.ndarray], most: int) -> Bits:
-        cells = np.unique(np.concatenate(lists))
-        bits = Bits(power_of_2(32 * len(cells), most))
-        bits.add(cells)
-        return bits
-
-    passing = spark.sparkContext.broadcast(merged_filter(wanted.select("hash").mapInArrow(keys, PARTIAL), any_of, chunks))
+    passing = spark.sparkContext.broadcast(merged_filter(wanted.select("hash").mapInArrow(keys, PARTIAL), Once))
 
     def doc_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Tokens()

@@ -1,7 +1,9 @@
 """Line dedup: lines that recur in several documents go, except in one of them.
 
-Two Bloom filters hold the hashes seen once and seen twice. Only lines that the second one suspects are
-shuffled, for exact counts and the choice of the document that keeps the line.
+Two Bloom filters of fixed size hold the hashes seen once and seen twice; they are built in parts, from what each
+task sends on of its own: the places that its distinct lines touch, about 2 bytes each. Lines themselves, as digests,
+are shuffled only where the second filter suspects them, for exact counts and the choice of the document that keeps
+the line.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.base import PARTIAL, Bits, cut, id_key, merged_filter, n_chunks, partial_sketch, power_of_2, raw, slices
+from lectern.llm.base import PARTIAL, OnceTwice, cut, id_key, merged_filter, partial_sketch, raw, slices
 
 SPACE = b" \t\n\x0b\x0c\r"
 #: A task sends on its part of the sketch after so many hashes at the latest.
@@ -41,19 +43,6 @@ def _halves(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0].astype(np.uint64), both[:, 1].astype(np.uint64)
 
 
-def merge_once_and_twice(lists: list[np.ndarray], most: int) -> Bits | None:
-    """The twice-seen filter: what meets itself in the once-seen filter, in one task's list or between lists."""
-    bits = power_of_2(12 * sum(map(len, lists)), most)
-    once, twice = Bits(bits), Bits(bits)
-    for cells in lists:
-        again = np.concatenate(([False], cells[1:] == cells[:-1])) if len(cells) else np.zeros(0, bool)
-        twice.add(cells[again])
-        cells = cells[~again]
-        twice.add(cells[once.has(cells)])
-        once.add(cells)
-    return twice
-
-
 def drop_repeated_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3) -> DataFrame:
     """Drop lines found in ``least_docs`` documents or more, except in the largest doc_id that holds them.
 
@@ -67,8 +56,8 @@ def drop_repeated_lines(docs: DataFrame, least_chars: int = 20, least_docs: int
     if least_docs < 2:
         raise ValueError("a repeated line is in 2 documents at least")
     spark = docs.sparkSession
-    chunks = n_chunks(spark)
-    rows = docs.select(id_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    rows = docs.select(id_key().alias("key"), F.xxhash64(text).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -77,31 +66,35 @@ def drop_repeated_lines(docs: DataFrame, least_chars: int = 20, least_docs: int
             if digests:
                 held.append(_halves(digests)[0])
             if sum(map(len, held)) >= FLUSH:
-                yield partial_sketch(np.concatenate(held), chunks)
+                yield partial_sketch(np.concatenate(held))
                 held = []
         if held:
-            yield partial_sketch(np.concatenate(held), chunks)
+            yield partial_sketch(np.concatenate(held))
 
-    suspected = spark.sparkContext.broadcast(merged_filter(rows.select("text").mapInArrow(count, PARTIAL), merge_once_and_twice, chunks))
+    suspected = spark.sparkContext.broadcast(merged_filter(rows.select("text").mapInArrow(count, PARTIAL), OnceTwice))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            owners, digests = [], []
-            for key, text in zip(part.column("key").to_pylist(), raw(part.column("text")), strict=True):
+            counts, digests = [], []
+            for text in raw(part.column("text")):
                 own = list(keys_of(text, least_chars).values())
                 digests += own
-                owners += [key] * len(own)
+                counts.append(len(own))
             if digests:
                 high, low = _halves(digests)
                 maybe = suspected.value.has(high)
-                yield pa.record_batch([pa.array(high[maybe].view(np.int64)), pa.array(low[maybe].view(np.int64)), pa.array(np.array(owners, np.int64)[maybe])], names=["high", "low", "key"])
+                owner = np.repeat(np.arange(part.num_rows), counts)[maybe]
+                yield pa.record_batch([pa.array(high[maybe].view(np.int64)), pa.array(low[maybe].view(np.int64)), *(pa.array(np.asarray(part.column(c)).astype(np.int64)[owner]) for c in ("key", "row"))], names=["high", "low", "key", "row"])
 
-    found = rows.select("key", "text").mapInArrow(places, "high long, low long, key long")
-    # Cut off, so that the join below is one of two plain shuffles, and a line that is everywhere is split by adaptive execution.
+    # Cut off: suspected lines are few, and are read twice. The join below is then one of two plain shuffles, and a line
+    # that is everywhere is split by adaptive execution.
+    found = cut(rows.select("key", "row", "text").mapInArrow(places, "high long, low long, key long, row long"))
     confirmed = cut(found.groupBy("high", "low").agg(F.count("*").alias("n"), F.max("key").alias("keeper")).filter(F.col("n") >= least_docs))
-    lost = found.join(confirmed, ["high", "low"]).filter(F.col("key") < F.col("keeper")).select("key", "high", "low")
-    lost = lost.groupBy("key").agg(F.collect_set(F.struct("high", "low")).alias("lost"))
-    joined = rows.join(lost, "key", "left").select("doc_id", "text", "lost")
+    lost = found.join(confirmed, ["high", "low"]).filter(F.col("key") < F.col("keeper")).select("key", "row", "high", "low")
+    # By id and text, so that what is collected is never more than one text's lines; cut off, so that a text that is
+    # everywhere is split, too.
+    lost = cut(lost.groupBy("key", "row").agg(F.collect_set(F.struct("high", "low")).alias("lost")))
+    joined = rows.join(lost, ["key", "row"], "left").select("doc_id", "text", "lost")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
