@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import components, decontaminate, line_dedup, mixing, near_dedup, pii, quality, repetition, substring_dedup, token_store, url_filter
+from lectern.llm import base, components, decontaminate, line_dedup, mixing, near_dedup, pii, quality, repetition, substring_dedup, token_store, url_filter
 from lectern.llm.queries import tokenizer_file
 
 from . import brute
@@ -348,3 +348,118 @@ def test_clashing_columns(spark, rows):
     own = spark.createDataFrame([(d, t, "s", *[None] * len(names)) for d, t in rows[:12]], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
     for made in (line_dedup.drop_repeated_lines(own), near_dedup.near_duplicates(own), substring_dedup.drop_repeated_substrings(own), repetition.repetition_rules(own), mixing.mix_sources(own), pii.replace_pii(own, "k")):
         assert made.count() == 12
+
+
+def test_substring_dedup_crowded_anchors(spark, docs, rows):
+    """Lots far smaller than an anchor's windows give the same result."""
+    for compared in (3, 50):
+        assert collected(substring_dedup.drop_repeated_substrings(docs, compared=compared), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(brute.substring_dedup(rows), key=repr)
+
+
+def test_null_ids_and_repeated_rows_of_one_id(spark):
+    """Rows without an id, or of one id, are judged each by its own text."""
+    passage = " ".join(f"p{i}" for i in range(20))
+    own = [(None, "x " + passage), (None, "other words here"), (None, "x " + passage), (3, passage + " y"), (3, "z " * 5 + passage), (2, None)]
+    found = collected(substring_dedup.drop_repeated_substrings(spark.createDataFrame(own, "doc_id long, text string")), "doc_id", "n_words", "n_removed")
+    assert found == sorted([(None, 21, 0), (None, 3, 0), (None, 21, 0), (3, 21, 20), (3, 25, 20), (2, 0, 0)], key=repr)
+
+
+def test_sketch_parts():
+    """A part's counters by list and by table, and folded filters, agree with plain counts."""
+    rng = np.random.default_rng(3)
+    lists = [np.sort(rng.integers(0, 1 << 25, 5000).astype(np.uint64)) for _ in range(4)]
+    lists[2] = np.sort(np.concatenate((lists[0][:700], lists[2])))
+    counts = {}
+    for cells in lists:
+        for c in cells.tolist():
+            counts[c] = counts.get(c, 0) + 1
+    twice = np.array([c for c, n in counts.items() if n > 1], np.uint64)
+    every = np.array(list(counts), np.uint64)
+    for kind in (base.Counted, base.OnceTwice, base.Once):
+        own = kind()
+        for cells in lists:
+            own.add(cells)
+        made = own.made()
+        assert made.has(every if kind is base.Once else twice).all() and (kind is base.Once or made.has(every).mean() < 0.2)
+    table = base.Counted()
+    for cells in lists:
+        table.add(cells)
+        table._settle()
+    assert (np.flatnonzero(table.table == 2) == np.sort(twice)).all()
+    hashes = rng.integers(0, 2**64, 20000, np.uint64)
+    sketch = base.partial_sketch(np.concatenate((hashes, hashes[:10])))
+    cells = np.concatenate([base.unpacked(b.as_py()) + np.uint64(c * ((1 << base.CELL_BITS) // base.CHUNKS)) for c, b in zip(sketch.column("chunk").to_pylist(), sketch.column("cells"))])
+    expected = np.sort(np.concatenate((hashes, hashes[:10])) >> np.uint64(64 - base.CELL_BITS))
+    assert (cells == expected).all()
+
+
+def test_pii_long_runs_and_addresses(spark):
+    """Long unbroken runs and hosts of thousands of labels neither stop the matcher nor take long."""
+    own = ["x@" + "a." * 20000, "a" * 40000 + "@x.com", "Mr " + "A" * 50000, "1 " * 20000, "token=" * 5000, "x@" + "ab." * 20000 + " y"]
+    found = {r["doc_id"]: r for r in pii.replace_pii(spark.createDataFrame(list(enumerate(own)), "doc_id long, text string"), "k").collect()}
+    assert [found[i]["n_entities"] for i in range(5)] == [0] * 5 and all(found[i]["text"] == own[i] for i in range(5))
+    assert found[5]["n_entities"] == 1 and found[5]["text"].endswith(" y")
+
+
+def test_pii_coreference(spark):
+    """A person's parts have one surrogate each, in all spellings; gender, script and case stay."""
+    own = ["Mr John Smith met. Smith left. JOHN SMITH and Mr. J. Smith came, Smith's dog too.", "Mrs Smith and Mrs Joan Smith", "Smith alone", "Dr Иванов MR SMITH", "Mr Bob Jones, Bob.Jones@x.com", "a@b.co  c@d.co"]
+    out = {r["doc_id"]: r["text"] for r in pii.replace_pii(spark.createDataFrame(list(enumerate(own)), "doc_id long, text string"), "k").collect()}
+    first, last = out[0].split()[1:3]
+    last = last.rstrip(".")
+    assert first in pii.GIVEN["m", "latin"] and out[0] == f"Mr {first} {last} met. {last} left. {first.upper()} {last.upper()} and Mr. J. {last} came, {last}'s dog too."
+    assert out[1].startswith(f"Mrs {last} and Mrs ") and out[1].split()[4] in pii.GIVEN["f", "latin"] and out[1].endswith(last) and out[2] == "Smith alone"
+    assert out[3].split()[2:] == ["MR", last.upper()] and "Ѐ" < out[3].split()[1][0] < "Ԁ" and "Иванов" not in out[3]
+    assert "Jones" not in out[4] and "@" in out[4] and out[5].split()[1] == "" and out[5].count("@") == 2 and "a@b" not in out[5]
+
+
+def test_pii_surrogates_of_crowded_forms(spark):
+    """Names and addresses get more room when a form's surrogates run short; of numbers an error says so."""
+    mails = [("email", f"{chr(97 + i // 26)}@{chr(97 + i % 26)}.co") for i in range(676)]
+    found = {r["norm"]: r["surrogate"] for r in pii.distinct_surrogates(spark.createDataFrame(mails, "kind string, norm string"), "k").collect()}
+    assert len(set(found.values())) == 676 and not set(found.values()) & {m for _, m in mails}
+    given = [("given", f"m|latin|name{i}") for i in range(100)]
+    assert len({r["surrogate"] for r in pii.distinct_surrogates(spark.createDataFrame(given, "kind string, norm string"), "k").collect()}) == 100
+    with pytest.raises(ValueError, match="ssn"):
+        pii.distinct_surrogates(spark.createDataFrame([("ssn", str(i)) for i in range(10)], "kind string, norm string"), "k", attempts=2)
+
+
+def test_pii_planted(spark):
+    """Planted mentions in all their formats: what lies between stays, and surrogates map one to one by entity and keep the form."""
+    rng = random.Random(11)
+
+    def digits(n):
+        return "".join(rng.choice("0123456789") for _ in range(n))
+
+    entities = []
+    for i in range(40):
+        a, b, c = digits(3), "2" + digits(2), digits(4)
+        ssn, ip = (digits(3), digits(2), digits(4)), ".".join(str(rng.randrange(1, 255)) for _ in range(4))
+        mail = f"user.{i}{digits(2)}@mail{i % 3}.example.com"
+        entities += [[f"+1 ({a}) {b}-{c}", f"+1-{a}-{b}-{c}", f"+1 {a} {b} {c}"], ["-".join(ssn)], [ip], [mail, mail.title(), mail.upper()]]
+    texts, truth = [], []
+    for d in range(120):
+        parts, own = [], []
+        for _ in range(rng.randrange(6)):
+            e = rng.randrange(len(entities))
+            own.append((e, rng.choice(entities[e])))
+            parts += [" ".join(rng.choice(["lorem", "ipsum", "dolor", "Sit"]) for _ in range(rng.randrange(1, 5))), own[-1][1]]
+        texts.append((d, " ".join([*parts, "end"])))
+        truth.append((parts[::2], own))
+    out = {r["doc_id"]: r for r in pii.replace_pii(spark.createDataFrame(texts, "doc_id long, text string"), "k").collect()}
+    plain, forms = {}, {}
+    shape = lambda x: "".join("0" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else c for c in x)
+    for d, (fillers, own) in enumerate(truth):
+        rest = out[d]["text"]
+        assert out[d]["n_entities"] == len(own)
+        for i, (filler, (e, mention)) in enumerate(zip(fillers, own, strict=True)):
+            assert rest.startswith(filler + " ")
+            rest = rest[len(filler) + 1 :]
+            after = fillers[i + 1] if i + 1 < len(fillers) else "end"
+            new, _, rest = rest.partition(" " + after)
+            rest = after + rest
+            form = new.lower() if "@" in new else "".join(c for c in new if c.isdigit()) if "." not in new else new
+            assert plain.setdefault(e, form) == form and new != mention and (shape(new) == shape(mention) or "." in mention and "@" not in mention)
+            forms.setdefault(form, e)
+        assert rest == "end"
+    assert all(plain[e] == form for form, e in forms.items()) and len(forms) == len(plain)
