@@ -94,31 +94,26 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE gone))::BIGI
 FROM judged GROUP BY doc_id""",
     "op3_source_mix": rf"""
 WITH sized AS (SELECT doc_id, source, coalesce('=' || source, '') AS src, coalesce(len(regexp_extract_all(text, '{_WORD}')), 0)::BIGINT AS size,
-                      md5('mix' || coalesce(doc_id::VARCHAR, 'null')) AS digest FROM documents),
+                      md5('mix' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))) AS digest FROM documents),
 totals AS (SELECT src, source, sum(size)::BIGINT AS source_size FROM sized GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM totals),
 weighted AS (SELECT *, (ARRAY[5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE])[(place - 1) % 3 + 1] AS weight, (source_size * 3)::DOUBLE AS most FROM ranked),
 levels AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
                      / sum(weight) OVER (ORDER BY most / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighted),
 targets AS (SELECT src, place, source_size, least(most, weight * max(level) OVER ()) AS target FROM levels),
+shares AS (SELECT *, CASE WHEN source_size > 0 THEN target / 64 ELSE 0 END AS share FROM targets),
+seats AS (SELECT src, share, place, unnest(range(1, (source_size * 3) // 64 + 1)) AS seat FROM shares WHERE source_size * 3 >= 64),
+best AS (SELECT *, row_number() OVER (ORDER BY share / (seat * 2 - 1) DESC, place, seat) AS turn FROM seats),
+won AS (SELECT src, count(*) * 64 AS quota FROM best WHERE turn <= (SELECT round(sum(share)) FROM shares) GROUP BY src),
+quotas AS (SELECT s.src, s.source_size, s.target, (CASE WHEN target >= source_size * 3 THEN source_size * 3 ELSE coalesce(w.quota, 0) END)::BIGINT AS quota,
+                  ('0x' || substr(md5('mix|' || s.src), 1, 8))::BIGINT % greatest(1, ceil(s.source_size / 64.0)::BIGINT) * 64 AS first FROM shares s LEFT JOIN won w USING (src)),
 shards AS (SELECT greatest(1, ceil(sum(source_size) / 524288.0))::BIGINT AS n FROM totals),
-dealt AS (SELECT sized.*, ('0x' || substr(digest, 1, 8))::BIGINT % shards.n AS shard FROM sized, shards),
-cells AS (SELECT src, shard, sum(size)::BIGINT AS cell_size FROM dealt GROUP BY ALL),
-shares AS (SELECT c.*, t.place, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target * c.cell_size / t.source_size / 64 ELSE 0 END AS share FROM cells c JOIN targets t USING (src)),
-blocks AS (SELECT shard, round(sum(share)) AS blocks FROM shares GROUP BY shard),
-seats AS (SELECT src, shard, share, place, unnest(range(1, (cell_size * 3) // 64 + 1)) AS seat FROM shares WHERE cell_size * 3 >= 64),
-best AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY share / (seat * 2 - 1) DESC, place, seat) AS turn FROM seats),
-won AS (SELECT src, shard, count(*) * 64 AS quota FROM best JOIN blocks USING (shard) WHERE turn <= blocks GROUP BY ALL),
-quotas AS (SELECT s.*, coalesce(w.quota, 0)::BIGINT AS quota,
-                  ('0x' || substr(md5('mix|' || s.src || '|' || s.shard), 1, 8))::BIGINT % greatest(1, ceil(s.cell_size / 64.0)::BIGINT) * 64 AS first
-           FROM shares s LEFT JOIN won w ON s.src = w.src AND s.shard = w.shard),
-placed AS (SELECT d.doc_id, d.size, q.source_size, q.target, q.cell_size, q.quota, q.first,
-                  sum(d.size) OVER (PARTITION BY d.src, d.shard ORDER BY d.digest, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stop
-           FROM dealt d JOIN quotas q ON d.src = q.src AND d.shard = q.shard),
-rings AS (SELECT *, quota // greatest(cell_size, 1) AS whole, first + quota - quota // greatest(cell_size, 1) * cell_size AS until FROM placed)
+placed AS (SELECT d.doc_id, d.size, q.source_size, q.target, q.quota // greatest(q.source_size, 1) AS whole, q.first, q.first + q.quota - q.quota // greatest(q.source_size, 1) * q.source_size AS until,
+                  sum(d.size) OVER (PARTITION BY d.src ORDER BY ('0x' || substr(digest, 1, 8))::BIGINT % shards.n, d.digest, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stop
+           FROM sized d JOIN quotas q USING (src), shards)
 SELECT doc_id, size, source_size, target,
-       (CASE WHEN size = 0 THEN 0 ELSE whole * size + greatest(0, least(stop, until) - greatest(stop - size, first)) + greatest(0, least(stop, until - cell_size) - (stop - size)) END)::BIGINT AS taken
-FROM rings""",
+       (CASE WHEN size = 0 THEN 0 ELSE whole * size + greatest(0, least(stop, until) - greatest(stop - size, first)) + greatest(0, least(stop, until - source_size) - (stop - size)) END)::BIGINT AS taken
+FROM placed""",
     "op6_url_filter": r"""
 WITH rules(rule_host, rule_path, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
 names AS (SELECT page_id, translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,

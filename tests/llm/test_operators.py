@@ -149,12 +149,24 @@ def test_mixing_reshares(spark):
     assert found["a"] == 30 and found["b"] == pytest.approx(1980 * 2 / 3) and found["c"] == pytest.approx(1980 / 3)
 
 
+def test_mixing_of_short_documents(spark):
+    """A source of 1,500 documents of 8 words beside a large one meets its target at any size of shard, and shards' quotas add up."""
+    own = [(i, "w " * 8, "a") for i in range(1500)] + [(10_000 + i, "w " * 3000, "b") for i in range(200)] + [(None, "w " * 5, "c"), (None, "w " * 7, "c"), (None, None, "c")]
+    docs = spark.createDataFrame(own, "doc_id long, text string, source string")
+    for words in (1 << 19, 1 << 13, 300):
+        found = mixing.mix_sources(docs, shard_words=words).toPandas()
+        by = found.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
+        assert by["target"]["a"] == 36000 and by["taken"]["a"] == 36000 and by["taken"]["c"] == 36 and abs(by["taken"]["b"] - by["target"]["b"]) <= 128
+        cells = found.groupby(["source", "shard"]).agg(quota=("shard_quota", "first"), taken=("taken", "sum"))
+        assert (cells["quota"] == cells["taken"]).all()
+
+
 def test_mixing_carries_between_shards(spark):
     """Sources meet their targets though their documents are alone in their cells."""
     own = [(i, "w " * 20, "a") for i in range(300)] + [(1000 + i, "w " * 200, "b") for i in range(300)] + [(5000, "w " * 9, "c")]
     docs = spark.createDataFrame(own, "doc_id long, text string, source string")
     for words in (1 << 19, 100):
-        found = mixing.mix_sources(docs, shard_words=words, carry=True).toPandas()
+        found = mixing.mix_sources(docs, shard_words=words).toPandas()
         by = found.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
         assert len(found) == len(own) and (found["taken"] <= 3 * found["size"]).all()
         assert ((by["taken"] - by["target"]).abs() <= 128).all() and by["taken"]["a"] == 18000 and by["taken"]["c"] == 27
