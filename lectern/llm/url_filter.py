@@ -1,7 +1,8 @@
 """URL filters: host-suffix and path-prefix expressions joined on short hash prefixes.
 
-All is DataFrame work. Each distinct URL is expanded into the expressions that a rule could be written as;
-an equi-join on 32 bits of the digest finds few candidates, and the full digest confirms them.
+All is DataFrame work. Each distinct URL is expanded into the expressions that a rule could be written as: suffixes
+of its host, and with those that rules have, prefixes of its path in the lengths of those rules. Equi-joins on 32 bits
+of the digest find few candidates, and the full digest confirms them.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.base import cut
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = "host string, path string, verdict string"
 
@@ -42,23 +45,26 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     ``default``). A null URL, or one without ://, has an empty host and path and fits no rule but one of an empty
     host. Rows that share an id are judged each on its own. Ports and user names belong to the host, as written.
 
-    Distinct URLs are judged once, so a page that a third of all rows repeat costs one expansion; the lengths of
-    rule paths, 2,048 at most and else an error, bound the expressions of a URL.
+    Distinct URLs are judged once, so a page that a third of all rows repeat costs one expansion. A host is split into
+    no more labels than the longest rule's has, and a path into prefixes of the lengths that rules of its own host
+    have, so that URLs of any length and rules of any number of lengths are judged.
     """
     rules = rules.select(F.translate(F.coalesce("host", F.lit("")), UPPER, LOWER).alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"), F.col("verdict").alias("rule_verdict"))
-    lengths = sorted(r["n"] for r in rules.select(F.length("rule_path").alias("n")).distinct().limit(2049).collect())
-    if len(lengths) > 2048:
-        raise ValueError("rules have paths of more than 2,048 lengths")
+    labels = rules.agg(F.coalesce(F.max(F.length("rule_host") - F.length(F.replace("rule_host", F.lit("."), F.lit(""))) + 1), F.lit(1)).alias("n")).first()["n"]
+    hosts = rules.groupBy("rule_host").agg(F.sort_array(F.collect_set(F.length("rule_path"))).alias("lengths"))
+    hosts = hosts.withColumn("digest", F.sha2("rule_host", 256)).select(_short(F.col("digest")).alias("short"), "digest", "lengths")
     keyed = rules.withColumn("digest", _digest(F.col("rule_host"), F.col("rule_path"))).withColumn("short", _short(F.col("digest")))
-    rows = pages.select(F.col(id_column), F.col(url_column).cast("string").alias("url")).select(id_column, "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    rows = pages.select(F.col(id_column), F.col(url_column).cast("string").alias("url")).select(id_column, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     names = rows.select("host", "path").distinct()
-    labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.array_distinct(F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("path")), lambda n: F.substr(F.col("path"), F.lit(1), n)))
-    spread = names.select("host", "path", F.explode(suffixes).alias("suffix"), prefixes.alias("prefixes")).select("host", "path", "suffix", F.explode("prefixes").alias("prefix"))
+    suffixes = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(labels)), lambda i: F.call_function("substring_index", F.col("host"), F.lit("."), -i)))
+    tried = names.select("host", "path", F.explode(suffixes).alias("suffix")).withColumn("own", F.sha2("suffix", 256))
+    known = tried.withColumn("short", _short(F.col("own"))).join(hosts, "short").filter(F.col("own") == F.col("digest")).select("host", "path", "suffix", "lengths")
+    prefixes = F.transform(F.filter("lengths", lambda n: n <= F.length("path")), lambda n: F.substr(F.col("path"), F.lit(1), n))
+    spread = known.select("host", "path", "suffix", F.explode(prefixes).alias("prefix"))
     spread = spread.withColumn("own", _digest(F.col("suffix"), F.col("prefix"))).withColumn("short", _short(F.col("own"))).select("host", "path", "own", "short")
     fits = spread.join(keyed, "short").filter(F.col("own") == F.col("digest"))
     text = F.concat("rule_host", "rule_path")
     best = F.min(F.struct((-F.length(text)).alias("length"), F.when(F.col("rule_verdict") == "block", 0).otherwise(1).alias("rank"), text.alias("rule"), F.col("rule_verdict").alias("verdict")))
-    judged = fits.groupBy("host", "path").agg(best.alias("best"))
+    # Cut off, so that the join is one of two plain shuffles, and a URL that is everywhere, or none, is split.
+    judged = cut(fits.groupBy("host", "path").agg(best.alias("best")))
     return rows.join(judged, ["host", "path"], "left").select(id_column, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))

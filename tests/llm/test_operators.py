@@ -185,6 +185,24 @@ def test_url_filter(spark):
     ]
 
 
+def test_url_filter_against_all_rules(spark):
+    """Long hosts and paths, rules of thousands of lengths, repeated and empty rules, null and clashing columns: as trying each rule."""
+    rng = random.Random(8)
+    label = lambda: rng.choice(["a", "b", "c"])
+    rules = [(".".join(label() for _ in range(rng.randrange(1, 4))), "/" + "p" * rng.randrange(3), rng.choice(["allow", "block"])) for _ in range(40)] + [("long.org", "/" + "x" * i, "block") for i in range(0, 3000)] + [(None, None, "allow"), ("b", None, "block")]
+    urls = ["s://" + ".".join(label() for _ in range(rng.randrange(1, 6))) + "/" + "p" * rng.randrange(5) for _ in range(80)] + ["s://" + "a." * 20000 + "a/p", "s://long.org/" + "x" * 5000, "s://w.long.org/" + "x" * 1234 + "y", None, "", "x", "s:///p", "s://"] + ["s://a/p"] * 30
+    pages = spark.createDataFrame([(i, u, "h", "p", "r", "v", "s") for i, u in enumerate(urls)], "page_id long, url string, host string, path string, rule string, verdict string, short string")
+    table = spark.createDataFrame(rules, url_filter.RULES)
+    for own, used in ((rules, table), ([], table.limit(0))):
+        found = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge_urls(pages, used, default="allow").collect()}
+        for i, u in enumerate(urls):
+            after = u.split("://", 1)[1] if u and "://" in u else ""
+            host, path = after.partition("/")[0], after[len(after.partition("/")[0]) :]
+            fits = [(-len((h or "") + (p or "")), v != "block", (h or "") + (p or ""), v) for h, p, v in own if (host == (h or "") or host.endswith("." + (h or ""))) and path.startswith(p or "")]
+            assert found[i] == (min(fits)[2:] if fits else (None, "allow")), u and u[:60]
+    assert url_filter.judge_urls(pages.limit(0), table).count() == 0
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     path = tokenizer_file()
