@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Regex of a word, and the white space that separates words.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A slice of rows that one vectorised step works on holds about so many bytes of text.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Words that a worker remembers the hash of.
 REMEMBERED_WORDS = 250_000
 

@@ -35,11 +35,12 @@ from pyspark.sql.window import Window
 from lectern.llm.base import shared_dir, slices
 
 SHARD_TOKENS = 1 << 20
-#: Rounds of counting and replacing; each makes so many rules at most, of pairs found so often at least.
-ROUNDS, RULES_A_ROUND, LEAST_COUNT = 4, 3000, 16
+#: Rules that one round of counting and replacing makes at most, those of the most frequent pairs. Rounds end when no
+#: pair is found twice, when no symbol is free, or when every pair found twice is too long for its length to be stored.
+RULES_A_ROUND = 5000
 SYMBOLS = 1 << 16
 #: Words whose ids a worker remembers.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_500_000
 #: White space in the widest sense, two in a row or at an end: the words of such texts are not encoded one by one.
 SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 APART = rf"{SPACE}{SPACE}|\A{SPACE}|{SPACE}\z"
@@ -90,8 +91,8 @@ class Encoder:
         # The model alone, for text that is cut into pieces and spelled in the byte-level alphabet before.
         self.model = Tokenizer(self.tokenizer.model)
         self.model.pre_tokenizer = CharDelimiterSplit(" ")
-        # Words met, as ascending digests with places in a stream of ids.
-        self.digests, self.at, self.n, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.uint16)
+        # Words met, as digests of 128 bits, ascending by the first half, with places in a stream of ids.
+        self.digests, self.checks, self.at, self.n, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.uint16)
 
     def plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -114,10 +115,11 @@ class Encoder:
 
     def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A stream of ids, and each distinct word's place and number of ids in it. What was met before is remembered."""
-        digests = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        halves = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64).reshape(-1, 2)
+        digests, checks = halves[:, 0].copy(), halves[:, 1]
         place = np.searchsorted(self.digests, digests)
         place[place == len(self.digests)] = 0
-        known = self.digests[place] == digests if len(self.digests) else np.zeros(len(words), bool)
+        known = (self.digests[place] == digests) & (self.checks[place] == checks) if len(self.digests) else np.zeros(len(words), bool)
         at, n = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         at[known], n[known] = self.at[place[known]], self.n[place[known]]
         new = np.flatnonzero(~known)
@@ -138,6 +140,7 @@ class Encoder:
                 both = np.concatenate((self.digests, digests[new]))
                 order = np.argsort(both, kind="stable")
                 self.digests = both[order]
+                self.checks = np.concatenate((self.checks, checks[new]))[order]
                 self.at = np.concatenate((self.at, at[new].astype(np.uint32)))[order]
                 self.n = np.concatenate((self.n, n[new].astype(np.uint32)))[order]
         return self.ids, at, n
@@ -169,7 +172,9 @@ class Encoder:
         codes = np.asarray(coded.indices)
         n, at = n[codes], at[codes]
         ends = np.cumsum(n)
-        stream = flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(at - (ends - n), n)]
+        places = np.repeat((at - (ends - n)).astype(np.int32), n)
+        places += np.arange(len(places), dtype=np.int32)
+        stream = flat[places]
         bounds = np.concatenate(([0], ends))[starts - np.arange(len(starts))].tolist()
         for i, first, lo, hi in zip(np.flatnonzero(~apart).tolist(), firsts, bounds[:-1], bounds[1:], strict=True):
             out[i] = np.concatenate((first.astype(np.uint16), stream[lo:hi]))
@@ -187,26 +192,25 @@ def encoder_of(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, symbols_at_most: int = SYMBOLS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair: (symbols, symbols up to each document's end, rules, ids that each rule expands to).
 
     A round counts all adjacent pairs, makes rules of the most frequent ones, and replaces their occurrences
-    from left to right; of overlapping occurrences every other one is replaced. Pairs never span documents.
+    from left to right; of overlapping occurrences every other one is replaced. Pairs never span documents. It goes on
+    until no pair is found twice or all of ``symbols_at_most`` symbols are in use; an expansion has 65,535 ids at most.
     """
     symbols, last = ids.astype(np.uint16), np.zeros(len(ids), bool)
     last[ends[ends > 0] - 1] = True
     rules: list[np.ndarray] = []
     spans = [np.ones(first_rule, np.int64)]
-    free = SYMBOLS - first_rule
-    for _ in range(rounds):
+    free = symbols_at_most - first_rule
+    while free > 0 and len(symbols) > 1:
         most = min(RULES_A_ROUND, free)
-        if most <= 0 or len(symbols) < 2:
-            break
         pairs = symbols[:-1].astype(np.uint32) << np.uint32(16) | symbols[1:]
         ordered = np.sort(pairs[~last[:-1]])
         starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.zeros(0, np.int64)
         counts = np.diff(np.append(starts, len(ordered)))
-        often = np.flatnonzero(counts >= LEAST_COUNT)
+        often = np.flatnonzero(counts >= 2)
         length = np.concatenate(spans)
         found = ordered[starts[often]]
         fits = length[found >> np.uint32(16)] + length[found & np.uint32(0xFFFF)] < SYMBOLS
@@ -232,7 +236,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, rounds: int = R
         order = np.arange(len(at))
         keep = (order - np.maximum.accumulate(np.where(run, order, 0))) % 2 == 0
         at, rule = at[keep], rule[keep]
-        base = SYMBOLS - free
+        base = symbols_at_most - free
         symbols[at] = (base + rule).astype(np.uint16)
         last[at] = last[at + 1]
         stays = np.ones(len(symbols), bool)
@@ -306,7 +310,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | Callable[[], str],
             raise ValueError("the vocabulary leaves no room for rules")
         part, seq, held, ids, n = TaskContext.get().partitionId(), 0, [], [], 0
         end = np.array([end_id], np.uint32)
-        for batch in slices(batches, most=6 << 20):
+        for batch in slices(batches, most=3 << 20):
             for doc, own in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text")), strict=True):
                 held.append(doc)
                 ids.append(np.concatenate((own, end)).astype(np.uint16))

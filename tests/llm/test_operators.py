@@ -247,6 +247,24 @@ def test_grammar_round_trip():
             assert np.cumsum(lengths).tolist() == [e for e in ends.tolist() if e]
 
 
+def test_grammar_is_complete():
+    """Rules are made until no pair of a document is found twice, or until symbols run out."""
+    rng = np.random.default_rng(6)
+    for n, kinds, room in ((6000, 12, token_store.SYMBOLS), (6000, 12, 50257 + 100)):
+        ids = rng.integers(0, kinds, n).astype(np.uint16)
+        ends = np.arange(600, n + 1, 600)
+        symbols, cut, rules, spans = token_store.compress(ids, ends, 50257, room)
+        pairs = {}
+        for a, b in zip(np.concatenate(([0], cut[:-1])).tolist(), cut.tolist(), strict=True):
+            own, last = symbols[a:b].tolist(), None
+            for i, pair in enumerate(zip(own, own[1:])):
+                if pair != last or own[i - 1] != own[i]:
+                    pairs[pair] = pairs.get(pair, 0) + 1
+                last = pair
+        assert len(rules) == 100 if room < token_store.SYMBOLS else max(pairs.values()) == 1
+        assert (token_store.Grammar(rules.tobytes(), spans.tobytes(), 50257).expand(symbols) == ids).all()
+
+
 ITEMS = [
     (1, "Anna has 12 apples and gives 5 kg of them to her friend Boris before noon each day"),
     (2, "the quick brown fox jumps over the lazy dog near the river bank at dawn"),
