@@ -87,6 +87,36 @@ def test_near_dedup_family(spark):
     assert collected(near_dedup.near_duplicates(df, 85), "doc_id", "n_shingles", "component_id", "kept") == sorted(brute.near_dedup(own, 85), key=repr)
 
 
+def test_near_dedup_unlike_family(spark, monkeypatch):
+    """Pages of one template at similarity about 0.6, all of whose shingles others have, too: compared pairs grow with the pages, and no link is lost."""
+    rng = random.Random(9)
+    counted = []
+    measured = near_dedup._measured
+    monkeypatch.setattr(near_dedup, "_measured", lambda edges, items: counted.append(edges.count()) or measured(edges, items))
+
+    def family(n):
+        template, pool = [f"t{i}" for i in range(230)], [[f"q{k}x{i}" for i in range(18)] for k in range(24)]
+        texts = []
+        for i in range(n):
+            if i % 20 == 19:
+                texts.append(texts[-1] + f" tail{i}")
+                continue
+            text = list(template)
+            for k in rng.sample(range(24), 4):
+                text[(k * 9) % 200 : (k * 9) % 200] = pool[k]
+            texts.append(" ".join(text))
+        return list(enumerate(texts))
+
+    shares = []
+    for n in (100, 200, 400):
+        own = family(n)
+        counted.clear()
+        found = collected(near_dedup.near_duplicates(spark.createDataFrame(own, "doc_id long, text string"), 85), "doc_id", "n_shingles", "component_id", "kept")
+        assert found == sorted(brute.near_dedup(own, 85), key=repr)
+        shares.append(sum(counted) / n)
+    assert shares[2] < 50 and shares[2] < shares[0] * 2, shares  # all pairs would be 200, four times those of 100 pages
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(30)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
