@@ -8,7 +8,7 @@ import string
 import unicodedata
 
 # Tags that only style text.
-STYLING = frozenset("a abbr b br code del em font i img ins kbd mark s small span strong sub sup u".split())
+STYLING = ("a", "abbr", "b", "br", "code", "del", "em", "font", "i", "img", "ins", "kbd", "mark", "s", "small", "span", "strong", "sub", "sup", "u")
 
 _TAG = re.compile(r"<(?:/?[A-Za-z][A-Za-z0-9-]*(?:\s+[A-Za-z_:][\w.:-]*(?:\s*=\s*(?:[^\s\"'=<>`]+|'[^']*'|\"[^\"]*\"))?)*\s*/?|!--.*?--|\?.*?\?|![A-Za-z][^>]*)>", re.S)
 _AUTOLINK = re.compile(r"<([A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*|[\w.!#$%&'*+/=?^`{|}~-]+@[A-Za-z0-9.-]+)>")

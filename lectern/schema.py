@@ -40,5 +40,10 @@ SUFFIXES = (".md", ".markdown")
 
 # Function words without topical signal.
 STOPWORDS = (
-    "a about after all also am an and any are as at be because been before being both but by can could did do does doing each for from had has have having he her here him his how i if in into is it its me more most my no nor not of on once only or other our out over own same she should so some such than that the their them then there these they this those through to too under until up us very was we were what when where which while who whom why will with would you your"
-).split()
+    "a", "about", "after", "all", "also", "am", "an", "and", "any", "are", "as", "at", "be", "because", "been", "before", "being", "both", "but",
+    "by", "can", "could", "did", "do", "does", "doing", "each", "for", "from", "had", "has", "have", "having", "he", "her", "here", "him", "his",
+    "how", "i", "if", "in", "into", "is", "it", "its", "me", "more", "most", "my", "no", "nor", "not", "of", "on", "once", "only", "or", "other",
+    "our", "out", "over", "own", "same", "she", "should", "so", "some", "such", "than", "that", "the", "their", "them", "then", "there", "these",
+    "they", "this", "those", "through", "to", "too", "under", "until", "up", "us", "very", "was", "we", "were", "what", "when", "where", "which",
+    "while", "who", "whom", "why", "will", "with", "would", "you", "your",
+)
