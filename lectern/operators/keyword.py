@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,13 +12,14 @@ from pyspark.sql.window import Window
 from lectern.functions.text import is_identifier, query_terms, tokens, walk_key
 from lectern.schema import BM25_B, BM25_K1, FIELD_WEIGHTS, GATE_SHARE, IDF_FLOOR, MAX_QUERY_TERMS, RARE_SECTIONS, RARE_SHARE
 
-
 #: Tokens of a text: ``functions.text.tokens``, or ``functions.stem.stemmed`` to match word forms.
 Analyzer = Callable[[Column], Column]
+#: So many distinct tokens of a batch of queries are looked up by a filter that reaches the scan; more are joined.
+MOST_FILTERED = 2000
 
 
 def postings(sections: DataFrame, fields: dict[str, float] = FIELD_WEIGHTS, analyze: Analyzer = tokens) -> DataFrame:
-    """(term, section_id, field, tf, positions) of all fields, for an index that is kept; write it sorted by term."""
+    """(term, section_id, field, tf, positions) of all fields."""
     each = sections.select("section_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), analyze(F.col(f)).alias("tokens")) for f in fields])).alias("x"))
     spread = each.select("section_id", "x.field", F.posexplode("x.tokens").alias("position", "term"))
     return spread.groupBy("term", "section_id", "field").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
@@ -28,41 +30,68 @@ def lengths(sections: DataFrame, fields: dict[str, float] = FIELD_WEIGHTS, analy
     return sections.select("section_id", sum((F.size(analyze(F.col(f))) for f in fields), F.lit(0)).cast("long").alias("length"))
 
 
+@dataclass
+class Lexicon:
+    """An inverted index: ``postings`` and ``lengths`` of sections, kept in an index or made on the fly."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    fields: dict[str, float] = field(default_factory=lambda: FIELD_WEIGHTS)
+
+    @classmethod
+    def of(cls, sections: DataFrame, fields: dict[str, float] = FIELD_WEIGHTS, analyze: Analyzer = tokens) -> Lexicon:
+        return cls(postings(sections, fields, analyze), lengths(sections, fields, analyze), fields)
+
+    def of_tokens(self, terms: DataFrame) -> DataFrame:
+        """Postings of the terms' tokens. Written in the order of terms, only row groups that hold one are read."""
+        wanted = terms.select(F.explode("tokens").alias("term")).distinct()
+        known = [r["term"] for r in wanted.limit(MOST_FILTERED + 1).collect()]
+        return self.postings.filter(F.col("term").isin(known)) if len(known) <= MOST_FILTERED else self.postings.join(wanted, "term", "left_semi")
+
+
+def stored_order(table: DataFrame) -> DataFrame:
+    """Postings as they are written: by term, and a term that is everywhere over several files."""
+    return table.repartitionByRange("term", "section_id").sortWithinPartitions("term", "section_id")
+
+
 def term_table(queries: DataFrame, most: int = MAX_QUERY_TERMS, analyze: Analyzer = tokens) -> DataFrame:
     """(query_id, term_id, term, tokens, identifier) of queries (query_id, query)."""
     spread = queries.select("query_id", F.posexplode(query_terms(F.col("query"), most)).alias("term_id", "term"))
     return spread.select("query_id", "term_id", "term", analyze(F.col("term")).alias("tokens"), is_identifier(F.col("term")).alias("identifier"))
 
 
-def occurrences(sections: DataFrame, terms: DataFrame, fields: dict[str, float] = FIELD_WEIGHTS, analyze: Analyzer = tokens) -> DataFrame:
+def occurrences(lexicon: Lexicon, terms: DataFrame) -> DataFrame:
     """(query_id, term_id, section_id, weight): field-weighted occurrences of each term as a run of adjacent tokens.
 
-    A token that no term has is dropped where it is read; a run is complete when all its places agree on where it
-    starts. The terms are a batch of queries: they are joined by token, and broadcast only as small as Spark holds
-    for safe.
+    What several queries ask is looked up once. Positions are read for terms of several tokens only: a run is complete
+    when all its places agree on where it starts.
     """
-    wanted = terms.select("query_id", "term_id", F.size("tokens").alias("k"), F.posexplode("tokens").alias("ord", "token"))
-    each = sections.select("section_id", F.explode(F.array(*[F.struct(F.lit(w).alias("weight"), analyze(F.col(f)).alias("tokens")) for f, w in fields.items()])).alias("x"))
-    spread = each.select("section_id", "x.weight", F.posexplode("x.tokens").alias("position", "token"))
-    runs = spread.join(wanted, "token").groupBy("query_id", "term_id", "section_id", "weight", (F.col("position") - F.col("ord")).alias("start")).agg(F.count("*").alias("n"), F.first("k").alias("k"))
-    return runs.filter("n = k").groupBy("query_id", "term_id", "section_id").agg(F.sum("weight").alias("weight"))
-
-
-def bm25(sections: DataFrame, terms: DataFrame, scope: Column | None = None, fields: dict[str, float] = FIELD_WEIGHTS, analyze: Analyzer = tokens) -> DataFrame:
+    phrased = terms.select("query_id", "term_id", "tokens", F.array_join("tokens", " ").alias("phrase"))
+    words = phrased.select("phrase", "tokens").distinct().select("phrase", F.size("tokens").alias("k"), F.posexplode("tokens").alias("ord", "term"))
+    weight = F.coalesce(*[F.when(F.col("field") == f, F.lit(w)) for f, w in lexicon.fields.items()])
+    met = lexicon.of_tokens(terms).join(words, "term").withColumn("weight", weight)
+    single = met.filter("k = 1").groupBy("phrase", "section_id").agg(F.sum(F.col("weight") * F.col("tf")).alias("weight"))
+    places = met.filter("k > 1").select("phrase", "section_id", "field", "weight", "k", "ord", F.explode("positions").alias("position"))
+    runs = places.groupBy("phrase", "section_id", "field", (F.col("position") - F.col("ord")).alias("start")).agg(F.count("*").alias("n"), F.first("k").alias("k"), F.first("weight").alias("weight"))
+    whole = runs.filter("n = k").groupBy("phrase", "section_id").agg(F.sum("weight").alias("weight"))
+    return phrased.select("query_id", "term_id", "phrase").join(single.unionByName(whole), "phrase").select("query_id", "term_id", "section_id", "weight")
+
+
+def bm25(lexicon: Lexicon, terms: DataFrame, scope: DataFrame | None = None, found: DataFrame | None = None) -> DataFrame:
     """(query_id, section_id, score): higher is better, rounded to 6 digits.
 
-    Frequencies and lengths are those of the whole table; ``scope`` only chooses the rows that are ranked.
+    Frequencies and lengths are those of the whole index; ``scope`` has the section_ids that are ranked. ``found`` are
+    the terms' occurrences where they are known already.
     """
-    found = occurrences(sections, terms, fields, analyze)
-    sized = lengths(sections, fields, analyze)
-    whole = sized.agg(F.count("*").alias("total"), F.avg("length").alias("average"))
+    found = occurrences(lexicon, terms) if found is None else found
+    whole = lexicon.lengths.agg(F.count("*").alias("total"), F.avg("length").alias("average"))
     frequency = found.groupBy("query_id", "term_id").agg(F.count("*").alias("df"))
     idf = F.ln((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = frequency.crossJoin(F.broadcast(whole)).select("query_id", "term_id", F.when(idf <= 0, IDF_FLOOR).otherwise(idf).alias("idf"), "average")  # one row is broadcast
-    joined = found.join(weighed, ["query_id", "term_id"]).join(sized, "section_id")
+    joined = found.join(weighed, ["query_id", "term_id"]).join(lexicon.lengths, "section_id")
     part = F.col("idf") * F.col("weight") * (BM25_K1 + 1) / (F.col("weight") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / F.col("average")))
     scored = joined.groupBy("query_id", "section_id").agg(F.round(F.sum(part), 6).alias("score"))
-    return scored if scope is None else scored.join(sections.filter(scope).select("section_id"), "section_id", "left_semi")
+    return scored if scope is None else scored.join(scope.select("section_id"), "section_id", "left_semi")
 
 
 def with_ties(ranked: DataFrame, limit: int, value: str = "score", descending: bool = True) -> DataFrame:
@@ -83,13 +112,12 @@ def rare(total: Column) -> Column:
     return F.greatest(F.lit(RARE_SECTIONS), F.floor(total * RARE_SHARE)).cast("bigint")
 
 
-def gate(sections: DataFrame, terms: DataFrame, found: DataFrame | None = None, analyze: Analyzer = tokens) -> DataFrame:
+def gate(sections: DataFrame, terms: DataFrame, found: DataFrame) -> DataFrame:
     """(query_id, section_id, share, passed): the share of a query's IDF mass that a section matches.
 
     It passes with half of the mass, with a rare identifier, or where the query has one term. Counts are those of
-    ``sections``, the scope of the search.
+    ``sections``, the scope of the search, to which ``found`` occurrences are bound.
     """
-    found = occurrences(sections, terms, analyze=analyze) if found is None else found
     total = sections.agg(F.count("*").alias("total"))
     frequency = terms.select("query_id", "term_id", "identifier").join(found.groupBy("query_id", "term_id").agg(F.count("*").alias("df")), ["query_id", "term_id"], "left").crossJoin(F.broadcast(total))  # one row is broadcast
     frequency = frequency.withColumn("df", F.coalesce("df", F.lit(0)))

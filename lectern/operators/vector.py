@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,17 +29,53 @@ def hashed_embeddings(texts: DataFrame, dim: int = 64) -> DataFrame:
     return texts.select("owner_id").join(held, "owner_id", "left").select("owner_id", F.when(F.col("counts").isNull(), first).otherwise(vector).alias("embedding"))
 
 
+#: Query vectors go to all tasks as one matrix of so many bytes at most; a larger batch is joined instead.
+MOST_SENT = 32 << 20
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """(query_id, owner_id, distance, rank) of the ``k`` nearest (owner_id, embedding) of each (query_id, embedding), ties whole.
 
-    Each task keeps its own ``k`` best before anything is shuffled. Queries are the small side; a filter of the
-    scope belongs on ``vectors``, before ranks are taken.
+    An exact scan: a task measures a batch of vectors against all queries by one product of matrices and keeps each
+    query's ``k`` best of the batch, with ties, before anything is shuffled. Vectors that are not usable, or not of the
+    queries' width, are left out. A filter of the scope belongs on ``vectors``, before ranks are taken.
     """
-    pairs = vectors.filter(usable(F.col("embedding"))).crossJoin(queries.select("query_id", F.col("embedding").alias("asked")))
-    measured = pairs.select("query_id", "owner_id", F.round(cosine_distance(F.col("embedding"), F.col("asked")), digits).alias("distance"))
+    asked = queries.select("query_id", "embedding")
+    sent = asked.limit(MOST_SENT // 512 + 1).toArrow()
+    width = len(sent["embedding"][0]) if sent.num_rows else 0
+    owned = vectors.filter(usable(F.col("embedding")) & (F.size("embedding") == width)).select("owner_id", "embedding")
+    if sent.num_rows * max(width, 64) * 8 <= MOST_SENT and all(len(x) == width for x in sent["embedding"]):
+        measured = _measured(owned, sent, k, digits)
+    else:
+        pairs = owned.crossJoin(asked.withColumnRenamed("embedding", "asked"))
+        measured = pairs.select("query_id", "owner_id", F.round(cosine_distance(F.col("embedding"), F.col("asked")), digits).alias("distance"))
     return measured.withColumn("rank", F.rank().over(Window.partitionBy("query_id").orderBy("distance"))).filter(F.col("rank") <= k)
 
 
+def _measured(vectors: DataFrame, sent: pa.Table, k: int, digits: int) -> DataFrame:
+    """Distances of each batch's best vectors to the queries that were ``sent``."""
+    ids = sent["query_id"].combine_chunks()
+    wanted = np.asarray(sent["embedding"].combine_chunks().flatten(), np.float64).reshape(len(ids), -1)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = np.linalg.norm(wanted, axis=1)
+        for batch in batches:
+            for part in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)):
+                own = np.asarray(part.column("embedding").flatten(), np.float64).reshape(part.num_rows, -1)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    distance = np.round(1 - wanted @ own.T / np.outer(sizes, np.linalg.norm(own, axis=1)), digits) + 0.0
+                if part.num_rows > k:
+                    worst = np.partition(distance, k - 1, axis=1)[:, k - 1 : k]
+                    query, at = np.nonzero(distance <= worst)
+                else:
+                    query, at = np.nonzero(np.isfinite(distance))
+                yield pa.record_batch([ids.take(pa.array(query)), part.column("owner_id").take(pa.array(at)), pa.array(distance[query, at])], names=["query_id", "owner_id", "distance"])
+
+    owner = vectors.schema["owner_id"].dataType.simpleString()
+    kind = "string" if pa.types.is_string(ids.type) else "int" if ids.type == pa.int32() else "bigint"
+    return vectors.mapInArrow(measure, f"query_id {kind}, owner_id {owner}, distance double")
+
+
 def max_similarity(section_hits: DataFrame, passage_hits: DataFrame) -> DataFrame:
     """(query_id, section_id, distance, ordinal): the least distance of a section or of any passage found in it, and the passage.
 

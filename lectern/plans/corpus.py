@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.operators import keyword, vector
+from lectern.session import shared_folder
+
+_INDEXES: dict[tuple[str, str], str] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,12 +31,35 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _index(spark: SparkSession, sf_dir: str) -> str:
+    """Where the index of a folder's sections is: written once for each application, in the shared folder, and read by its queries."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        place, own = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", sections(spark, sf_dir)
+        keyword.stored_order(keyword.postings(own)).write.parquet(f"{place}/postings")
+        keyword.lengths(own).write.parquet(f"{place}/lengths")
+        vector.hashed_embeddings(own.select(F.col("section_id").alias("owner_id"), F.col("content").alias("text"))).write.parquet(f"{place}/vectors")
+        _INDEXES[key] = place
+    return _INDEXES[key]
+
+
+def lexicon(spark: SparkSession, sf_dir: str) -> keyword.Lexicon:
+    """The inverted index of a folder's sections."""
+    place = _index(spark, sf_dir)
+    return keyword.Lexicon(spark.read.parquet(f"{place}/postings"), spark.read.parquet(f"{place}/lengths"))
+
+
+def section_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(owner_id, embedding) of a folder's sections, from its index."""
+    return spark.read.parquet(f"{_index(spark, sf_dir)}/vectors")
+
+
 #: The same in DuckDB.
 SECTIONS_SQL = "SELECT doc_id AS section_id, lang || '/' || source || '/doc-' || doc_id || '.md' AS file_path, source AS heading_title, lang || ' > ' || source AS heading_path, text AS content, 1 AS start_line, 0 AS part_index FROM documents"
 
 
 def questions(spark: SparkSession, sf_dir: str, words: int = 6) -> DataFrame:
-    """The first words of each benchmark item as a query."""
+    """The first words of each benchmark item as a query: as short as what people type. That is what a query is here, not a sample of items or of sections."""
     items = table(spark, sf_dir, "benchmark")
     return items.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "), 1, words), " ").alias("query"))
 

@@ -9,8 +9,9 @@ from pyspark.sql.window import Window
 from lectern.functions import text as X
 from lectern.operators import keyword as K
 from lectern.operators import vector as N
-from lectern.plans.corpus import PASSAGES_SQL, QUESTIONS_SQL, SECTIONS_SQL, passages, questions, sections, table
+from lectern.plans.corpus import PASSAGES_SQL, QUESTIONS_SQL, SECTIONS_SQL, lexicon, passages, questions, section_vectors, sections, table
 from lectern.plans.registering import area
+from lectern.session import kept
 from lectern.schema import STOPWORDS
 
 QUERIES, ORACLE_SQL, query = area()
@@ -72,17 +73,18 @@ def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {TERMS_SQL}, {FOUND_SQL}, {BM25_SQL}, ranked AS (SELECT *, rank() OVER (PARTITION BY query_id ORDER BY score DESC)::INT AS rank FROM scored) SELECT query_id, section_id, score, rank FROM ranked WHERE rank <= 20")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.with_ties(K.bm25(sections(spark, sf_dir), _asked(spark, sf_dir)), 20).select("query_id", "section_id", "score", "rank")
+    return K.with_ties(K.bm25(lexicon(spark, sf_dir), _asked(spark, sf_dir)), 20).select("query_id", "section_id", "score", "rank")
 
 
 @query(f"WITH {TERMS_SQL}, {FOUND_SQL} SELECT query_id, term_id, section_id, weight FROM found")
 def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.occurrences(sections(spark, sf_dir), _asked(spark, sf_dir))
+    return K.occurrences(lexicon(spark, sf_dir), _asked(spark, sf_dir))
 
 
 @query(f"WITH {TERMS_SQL}, {FOUND_SQL}, {GATE_SQL} SELECT query_id, section_id, share, passed FROM gated")
 def idf_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.gate(sections(spark, sf_dir), _asked(spark, sf_dir))
+    terms = _asked(spark, sf_dir)
+    return K.gate(sections(spark, sf_dir), terms, K.occurrences(lexicon(spark, sf_dir), terms))
 
 
 @query(f"""WITH {TERMS_SQL}, {FOUND_SQL}, {GATE_SQL}
@@ -90,7 +92,7 @@ SELECT q.query_id, CASE WHEN any_value(a.n_terms) IS NULL THEN 'no_terms' WHEN c
 FROM questions q LEFT JOIN asked a ON a.query_id = q.query_id LEFT JOIN gated g ON g.query_id = q.query_id GROUP BY q.query_id""")
 def keyword_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = _asked(spark, sf_dir)
-    return K.keyword_states(questions(spark, sf_dir), terms, K.gate(sections(spark, sf_dir), terms))
+    return K.keyword_states(questions(spark, sf_dir), terms, K.gate(sections(spark, sf_dir), terms, K.occurrences(lexicon(spark, sf_dir), terms)))
 
 
 WALK_SQL = "list_reduce(list_prepend('', list_transform(string_split(file_path, '/')[1:-2], lambda p: '1' || (CASE WHEN starts_with(p, '.') THEN '1' ELSE '0' END) || p || chr(1))), lambda a, b: a || b) || '00' || string_split(file_path, '/')[-1]"
@@ -106,25 +108,25 @@ def walk_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT query_id, section_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, walk, section_id)::INT AS position FROM placed QUALIFY position <= 20""")
 def keyword_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = sections(spark, sf_dir)
-    return K.in_order(K.bm25(own, _asked(spark, sf_dir)), own).filter("position <= 20").select("query_id", "section_id", "score", "position")
+    return K.in_order(K.bm25(lexicon(spark, sf_dir), _asked(spark, sf_dir)), own).filter("position <= 20").select("query_id", "section_id", "score", "position")
 
 
 @query(f"WITH {TERMS_SQL}, {FOUND_SQL}, {BM25_SQL} SELECT query_id, section_id, score FROM scored JOIN sections USING (section_id) WHERE starts_with(file_path, 'de/')")
 def scoped_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.bm25(sections(spark, sf_dir), _asked(spark, sf_dir), F.col("file_path").startswith("de/"))
+    return K.bm25(lexicon(spark, sf_dir), _asked(spark, sf_dir), sections(spark, sf_dir).filter(F.col("file_path").startswith("de/")))
 
 
 # Parts as documents of three fields.
 _PARTS = "SELECT p_partkey AS section_id, p_name AS heading_title, p_type AS heading_path, p_brand AS content FROM part"
 
 
-@query(f"WITH q AS (SELECT p_partkey AS query_id, p_name || ' ' || p_brand AS query FROM part WHERE p_partkey % 100 = 1), terms AS (SELECT query_id, unnest(string_split(query, ' ')) AS term, (unnest(range(len(string_split(query, ' ')))))::INT AS term_id, true AS identifier FROM q), {FOUND_SQL.replace(SECTIONS_SQL, _PARTS)}, {BM25_SQL} SELECT query_id, section_id, score FROM scored QUALIFY rank() OVER (PARTITION BY query_id ORDER BY score DESC) <= 5")
+@query(f"WITH q AS (SELECT p_partkey AS query_id, p_name || ' ' || p_brand AS query FROM part), terms AS (SELECT query_id, unnest(string_split(query, ' ')) AS term, (unnest(range(len(string_split(query, ' ')))))::INT AS term_id, true AS identifier FROM q), {FOUND_SQL.replace(SECTIONS_SQL, _PARTS)}, {BM25_SQL} SELECT query_id, section_id, score FROM scored QUALIFY rank() OVER (PARTITION BY query_id ORDER BY score DESC) <= 5")
 def bm25_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     own = part.select(F.col("p_partkey").alias("section_id"), F.col("p_name").alias("heading_title"), F.col("p_type").alias("heading_path"), F.col("p_brand").alias("content"))
-    asked = part.filter("p_partkey % 100 = 1").select(F.col("p_partkey").alias("query_id"), F.posexplode(F.split(F.concat_ws(" ", "p_name", "p_brand"), " ")).alias("term_id", "term"))
+    asked = part.select(F.col("p_partkey").alias("query_id"), F.posexplode(F.split(F.concat_ws(" ", "p_name", "p_brand"), " ")).alias("term_id", "term"))
     asked = asked.select("query_id", "term_id", "term", X.tokens(F.col("term")).alias("tokens"), F.lit(True).alias("identifier"))
-    return K.with_ties(K.bm25(own, asked), 5).select("query_id", "section_id", "score")
+    return K.with_ties(K.bm25(K.Lexicon.of(own), asked), 5).select("query_id", "section_id", "score")
 
 
 @query(r"""WITH hits AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
@@ -211,12 +213,12 @@ fused AS (SELECT query_id, section_id, round(sum(1.0::DOUBLE / (60 + position)),
 @query(f"WITH {_HYBRID} SELECT query_id, section_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, section_id)::INT AS position FROM fused QUALIFY position <= 5")
 def hybrid_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both lanes for a batch of queries, fused: the engine's flagship."""
-    own, asked = sections(spark, sf_dir), questions(spark, sf_dir)
+    own, asked, words = sections(spark, sf_dir), questions(spark, sf_dir), lexicon(spark, sf_dir)
     terms = K.term_table(asked)
-    found = K.occurrences(own, terms)
+    found = kept(K.occurrences(words, terms))
     passed = K.gate(own, terms, found).filter("passed").select("query_id", "section_id")
-    lexical = K.in_order(K.bm25(own, terms).join(passed, ["query_id", "section_id"], "left_semi"), own).filter("position <= 20")
-    vectors = N.hashed_embeddings(own.select(F.col("section_id").alias("owner_id"), F.col("content").alias("text")))
+    lexical = K.in_order(K.bm25(words, terms, found=found).join(passed, ["query_id", "section_id"], "left_semi"), own).filter("position <= 20")
+    vectors = section_vectors(spark, sf_dir)
     wanted = N.hashed_embeddings(asked.select(F.col("query_id").alias("owner_id"), F.col("query").alias("text"))).withColumnRenamed("owner_id", "query_id")
     near = N.nearest(vectors, wanted, 20).withColumnRenamed("owner_id", "section_id")
     semantic = K.in_order(near.select("query_id", "section_id", "distance"), own, "distance", descending=False).filter("position <= 20")

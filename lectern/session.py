@@ -35,9 +35,20 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the folder of spark.checkpoint.dir, which all executors share; a temporary one where that is unset."""
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context._jsc.sc().getCheckpointDir().isEmpty():
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, of spark.checkpoint.dir or set as checkpoint folder before; a temporary one only where the master is local."""
+    context = spark.sparkContext
+    there = context.getConf().get("spark.checkpoint.dir")
+    if there:
+        return there.rstrip("/")
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-"))
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

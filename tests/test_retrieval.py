@@ -27,7 +27,7 @@ def test_bm25_agrees_with_sqlite(spark):
     asked = [(q, list(dict.fromkeys(terms))) for q, terms in asked]
     sections = spark.createDataFrame(rows, "section_id long, heading_title string, heading_path string, content string")
     terms = spark.createDataFrame([(q, i, t, t.split(), False) for q, own in asked for i, t in enumerate(own)], "query_id long, term_id int, term string, tokens array<string>, identifier boolean")
-    found = {(r["query_id"], r["section_id"]): r["score"] for r in K.bm25(sections, terms).collect()}
+    found = {(r["query_id"], r["section_id"]): r["score"] for r in K.bm25(K.Lexicon.of(sections), terms).collect()}
     expected = {}
     for q, own in asked:
         match = " OR ".join(f'"{t}"' for t in own)
@@ -101,7 +101,7 @@ def test_scores_read_no_more_than_they_need(spark, tmp_path):
     plan = own.filter(F.col("file_path").startswith("a/")).select("section_id")._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith" in plan and "content" not in plan
     terms = K.term_table(spark.createDataFrame([(1, "text")], "query_id long, query string"))
-    ranked = K.with_ties(K.bm25(own, terms), 5)._jdf.queryExecution().executedPlan().toString()
+    ranked = K.with_ties(K.bm25(K.Lexicon.of(own), terms), 5)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in ranked and "Python" not in ranked and "Pandas" not in ranked
 
 
@@ -121,4 +121,4 @@ def test_stems_agree_with_sqlite():
 def test_stemmed_lane(spark):
     own = spark.createDataFrame([(1, "", "", "retrying requests"), (2, "", "", "other words")], "section_id long, heading_title string, heading_path string, content string")
     terms = K.term_table(spark.createDataFrame([(0, "retry request")], "query_id long, query string"), analyze=stemmed)
-    assert {r["section_id"] for r in K.bm25(own, terms, analyze=stemmed).collect()} == {1} and K.bm25(own, K.term_table(spark.createDataFrame([(0, "retry")], "query_id long, query string"))).count() == 0
+    assert {r["section_id"] for r in K.bm25(K.Lexicon.of(own, analyze=stemmed), terms).collect()} == {1} and K.bm25(K.Lexicon.of(own), K.term_table(spark.createDataFrame([(0, "retry")], "query_id long, query string"))).count() == 0
