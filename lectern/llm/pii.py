@@ -8,6 +8,9 @@ is an entity, so that full names, surnames with a title and bare names of one pe
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +67,10 @@ NUMBERS = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What is looked for in all texts, and what is replaced in those that introduce a person: runs of capitalised words.
 ANY = rf"{NUMBERS}|{_LED}{_NAME}(?: {_NAME}){{0,2}}"
 NAMED = rf"{NUMBERS}|(?<![\p{{L}}\p{{N}}]){_NAME}(?: {_NAME}){{0,7}}"
+#: Texts without such a character, and without one of the titles that no other is part of, hold nothing of ANY.
+HINT = r"[0-9@=:]"
+_SPELLED = {spelled for own in TITLES.values() for t in own for spelled in (t, t.upper())}
+HINTS = sorted(t for t in _SPELLED if not any(u != t and u in t for u in _SPELLED))
 #: Stands around matches for a moment.
 MARK = "\ue000"
 
@@ -242,7 +249,8 @@ def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     equal texts alike. An empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = rows.select(F.md5("text").alias("own"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))).alias("mention"))
+    hinted = reduce(or_, [F.col("text").contains(t) for t in HINTS], F.regexp_like("text", F.lit(HINT)))
+    found = rows.filter(hinted).select(F.md5("text").alias("own"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))).alias("mention"))
     # What a text is replaced by depends on the text alone, so copies meet here, however many they are.
     found = cut(found.distinct().withColumn("kind", kind_of(F.col("mention"))).filter(F.col("kind").isNotNull()))
     numbers = found.filter("kind <> 'person'").select("own", "mention", "kind", norm_of(F.col("kind"), F.col("mention")).alias("norm"))
