@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from lectern.session import kept
 
 
 def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -70,15 +73,15 @@ def verdict(indexed: Column, failed: Column, stale: Column, verified: Column) ->
     return F.when(indexed == 0, "empty").when(failed > 0, "failures").when(stale > 0, "stale").when(~F.coalesce(verified, F.lit(False)), "unverified").otherwise("complete")
 
 
-def numbered(rows: DataFrame, order: list[Column], high_water: int, column: str = "section_id") -> DataFrame:
-    """Ids above ``high_water`` in the given order, so that no id is ever used twice. The order is global: rows are
-    counted by partition first, and only the counts meet in one place."""
-    from pyspark.sql.window import Window
-
-    from lectern.session import kept
-
+def placed(rows: DataFrame, order: list[Column], column: str) -> DataFrame:
+    """Places from 0 in a global order: rows are dealt by ranges and counted there, and only the counts meet in one place."""
     parted = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
     parted = kept(parted)  # both uses below must see the same partitions
     counts = parted.groupBy("_part").agg(F.count("*").alias("_n"))
     starts = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
-    return parted.join(starts, "_part").withColumn(column, F.lit(high_water + 1) + F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
+    return parted.join(starts, "_part").withColumn(column, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
+
+
+def numbered(rows: DataFrame, order: list[Column], high_water: int, column: str = "section_id") -> DataFrame:
+    """Ids above ``high_water`` in the given order, so that no id is ever used twice."""
+    return placed(rows, order, "_place").withColumn(column, F.lit(high_water + 1) + F.col("_place")).drop("_place")

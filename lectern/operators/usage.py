@@ -54,3 +54,23 @@ def task_context(turns: DataFrame, most: int = 400) -> DataFrame:
 def distinct_queries(calls: DataFrame) -> DataFrame:
     """(query, n, places) of calls (query, place), the most frequent first."""
     return calls.groupBy("query").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("place")).alias("places")).orderBy(F.col("n").desc(), "query")
+
+
+def normalised_calls(lines: DataFrame) -> DataFrame:
+    """(file, seq, id, name, failed) of two agents' event logs (file, seq, line), in one shape.
+
+    One agent's lines hold messages with parts of type tool_use and, later, tool_result; the other's hold an item once
+    it is complete, a tool's or a shell command. Lines that are no JSON, or anything else, give nothing.
+    """
+    parsed = lines.withColumn("v", F.try_parse_json("line")).filter("v IS NOT NULL")
+    get = lambda path, kind: F.try_variant_get("v", path, kind)
+    part = "array<struct<type:string,id:string,name:string,tool_use_id:string,is_error:boolean>>"
+    parts = parsed.select("file", "seq", F.explode(get("$.message.content", part)).alias("p"))
+    uses = parts.filter("p.type = 'tool_use'").select("file", "seq", "p.id", "p.name")
+    results = parts.filter("p.type = 'tool_result'").select("file", F.col("seq").alias("result_seq"), F.col("p.tool_use_id").alias("id"), F.coalesce("p.is_error", F.lit(False)).alias("failed"))
+    pairs = paired_calls(uses.select("file", "id", "seq"), results.select("file", "id", F.col("result_seq").alias("seq")))
+    one = uses.join(pairs.withColumnRenamed("use_seq", "seq"), ["file", "id", "seq"], "left").join(results, ["file", "id", "result_seq"], "left").select("file", "seq", "id", "name", F.coalesce("failed", F.lit(False)).alias("failed"))
+    item = parsed.filter(get("$.type", "string") == "item.completed").select("file", "seq", get("$.item.type", "string").alias("kind"), get("$.item.id", "string").alias("id"), F.concat_ws("__", F.lit("mcp"), get("$.item.server", "string"), get("$.item.tool", "string")).alias("tool"), get("$.item.exit_code", "int").alias("code"), get("$.item.status", "string").alias("status"), get("$.item.error", "string").alias("error"))
+    failed = F.when(F.col("kind") == "command_execution", F.coalesce(F.col("code") != 0, F.lit(False))).otherwise(F.col("error").isNotNull() | F.coalesce(F.col("status") == "failed", F.lit(False)))
+    other = item.filter(F.col("kind").isin("command_execution", "mcp_tool_call")).select("file", "seq", "id", F.when(F.col("kind") == "command_execution", "Bash").otherwise(F.col("tool")).alias("name"), failed.alias("failed"))
+    return one.unionByName(other)

@@ -98,10 +98,10 @@ def resolve_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.resolve(generated_sections(spark, sf_dir), nation.select(F.col("n_nationkey").alias("query_id"), F.col("n_regionkey").alias("doc_id"), path.alias("path")))
 
 
-@query(f"WITH {_SECTIONS_SQL}, tops AS (SELECT doc_id, heading_path FROM sections WHERE heading_level = 1 AND doc_id % 2 = 0) SELECT s.doc_id, t.heading_path AS asked, s.heading_path, s.start_line FROM tops t JOIN sections s ON s.doc_id = t.doc_id")
+@query(f"WITH {_SECTIONS_SQL}, tops AS (SELECT doc_id, heading_path FROM sections WHERE heading_level = 1) SELECT s.doc_id, t.heading_path AS asked, s.heading_path, s.start_line FROM tops t JOIN sections s ON s.doc_id = t.doc_id")
 def read_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = generated_sections(spark, sf_dir).withColumn("part_index", F.lit(0))
-    return N.with_descendants(own, own.filter("heading_level = 1 AND doc_id % 2 = 0").select("doc_id", "heading_path")).select("doc_id", "asked", "heading_path", "start_line")
+    return N.with_descendants(own, own.filter("heading_level = 1").select("doc_id", "heading_path")).select("doc_id", "asked", "heading_path", "start_line")
 
 
 @query("SELECT d.doc_id, any_value(d.source) AS source, count(l.line)::BIGINT AS sections FROM documents d LEFT JOIN (SELECT doc_id, unnest(list_filter(string_split(text, chr(10)), lambda x: length(x) > 300)) AS line FROM documents) l ON d.doc_id = l.doc_id GROUP BY d.doc_id")

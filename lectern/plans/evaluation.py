@@ -92,15 +92,6 @@ def wilson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("n_name", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
 
-@query("""WITH c AS (SELECT row_number() OVER (ORDER BY c_nationkey) - 1 AS place, sum(c_acctbal) AS top, count(*) AS bottom FROM customer GROUP BY c_nationkey),
-t AS (SELECT r.r AS round, t.t AS turn, (SELECT count(*) FROM c) AS n FROM range(200) r(r), range((SELECT count(*) FROM c)) t(t)), d AS (SELECT round, (((round * 7919 + turn * 104729 + 1) % 2147483647) * 48271 + 11) % 2147483647 % n AS place FROM t)
-SELECT d.round, round(sum(top) / sum(bottom), 3) AS ratio FROM d JOIN c USING (place) GROUP BY d.round""")
-def bootstrap_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clusters = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.sum("c_acctbal").alias("top"), F.count("*").alias("bottom"))
-    clusters = clusters.withColumn("place", (F.row_number().over(Window.orderBy("c_nationkey")) - 1).cast("long"))
-    return E.bootstrap_ratio(clusters, 200).select("round", F.round("ratio", 3).alias("ratio"))
-
-
 @query(f"""WITH {_RESULTS}, a AS (SELECT query_id, list(label ORDER BY rank) AS v FROM results WHERE rank <= 10 GROUP BY ALL), n AS (SELECT p_size AS query_id, p_partkey AS label, row_number() OVER (PARTITION BY p_size ORDER BY round(p_retailprice / 10, 0) DESC, p_partkey) AS rank FROM part), b AS (SELECT query_id, list(label ORDER BY rank) AS v FROM n WHERE rank <= 10 GROUP BY ALL)
 SELECT a.query_id, a.v[1] IS DISTINCT FROM b.v[1] AS top1, list_sort(a.v) <> list_sort(b.v) AS members, a.v <> b.v AS reordered FROM a JOIN b ON a.query_id = b.query_id""")
 def rank_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,14 +101,13 @@ def rank_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.churn(results(spark, sf_dir).filter("rank <= 10").withColumnRenamed("label", "item"), new)
 
 
-@query("WITH b AS (SELECT item_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')[1:8], ' ') || ' ' AS run FROM benchmark), d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ' ') || ' ' AS t FROM documents) SELECT item_id, doc_id FROM b JOIN d ON contains(t, run)")
+_TOKENS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')"
+
+
+@query(f"WITH b AS (SELECT item_id, ' ' || array_to_string({_TOKENS.format('text')}, ' ') || ' ' AS run FROM benchmark), d AS (SELECT doc_id, ' ' || array_to_string({_TOKENS.format('text')}, ' ') || ' ' AS t FROM documents) SELECT item_id, doc_id FROM b JOIN d ON contains(t, run) WHERE length(run) > 2")
 def phrase_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of eight tokens of benchmark items in documents: equal windows meet by hash, not item by item."""
-    toks = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(toks(F.col("text")), 1, 8), " ").alias("run"), F.size(F.slice(toks(F.col("text")), 1, 8)).alias("n"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", toks(F.col("text")).alias("t")).filter(F.size("t") >= 8)
-    windows = docs.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - 7), lambda i: F.array_join(F.slice("t", i, 8), " "))).alias("run"))
-    return items.filter("n = 8").join(windows, "run").select("item_id", "doc_id").distinct()
+    """Which documents hold a benchmark item whole, as a run of tokens."""
+    return E.contained_phrases(table(spark, sf_dir, "benchmark").select("item_id", "text"), table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query("WITH v AS (SELECT doc_id AS item, [quality, toxic, (doc_id % 3 = 0)::INT] AS votes FROM labels) SELECT item, list_sum(votes)::BIGINT AS yes, 2 * list_sum(votes) > 3 AS majority FROM v")

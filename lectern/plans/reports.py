@@ -7,20 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions.text import token_estimate
+from lectern.operators.incremental import placed
 from lectern.plans.corpus import table
 from lectern.plans.registering import area
 
 QUERIES, ORACLE_SQL, query = area()
 
 
-@query("SELECT doc_id FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents) WHERE i % greatest(1, n // 10) = 0 AND i // greatest(1, n // 10) < 10")
-def even_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten documents of each language at an even stride."""
-    by = Window.partitionBy("lang")
-    placed = table(spark, sf_dir, "documents").select("doc_id", (F.row_number().over(by.orderBy("doc_id")) - 1).alias("i"), F.greatest(F.lit(1), F.floor(F.count("*").over(by) / 10)).alias("step"))
-    return placed.filter("i % step = 0 AND floor(i / step) < 10").select("doc_id")
-
-
 _SCALE = "['none', 'low', 'fair', 'good']"
 
 
@@ -34,12 +27,12 @@ def merge_graders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("doc_id", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.coalesce("key", lower)).alias("grade"), (F.col("a") != F.col("b")).alias("disagreed"))
 
 
-@query("SELECT c_custkey AS task, row_number() OVER (ORDER BY md5(c_custkey::VARCHAR || ':7'), c_custkey)::INT AS position, CASE WHEN row_number() OVER (ORDER BY md5(c_custkey::VARCHAR || ':7'), c_custkey) % 2 = 1 THEN 'with,without' ELSE 'without,with' END AS arms FROM customer WHERE c_nationkey = 3")
+@query("WITH s AS (SELECT c_custkey AS task, row_number() OVER (ORDER BY md5(c_custkey::VARCHAR || ':7'), c_custkey) AS position FROM customer) SELECT task, position, CASE WHEN position % 2 = 1 THEN 'with,without' ELSE 'without,with' END AS arms FROM s")
 def seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tasks in a seeded order, with the order of the two arms alternating."""
-    order = Window.orderBy(F.md5(F.concat(F.col("c_custkey").cast("string"), F.lit(":7"))), "c_custkey")
-    placed = table(spark, sf_dir, "customer").filter("c_nationkey = 3").select(F.col("c_custkey").alias("task"), F.row_number().over(order).alias("position"))
-    return placed.withColumn("arms", F.when(F.col("position") % 2 == 1, "with,without").otherwise("without,with"))
+    tasks = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("task"), F.md5(F.concat(F.col("c_custkey").cast("string"), F.lit(":7"))).alias("digest"))
+    shuffled = placed(tasks, [F.col("digest"), F.col("task")], "place").select("task", (F.col("place") + 1).alias("position"))
+    return shuffled.withColumn("arms", F.when(F.col("position") % 2 == 1, "with,without").otherwise("without,with"))
 
 
 @query("""WITH c AS (SELECT user_id AS session, event_type AS kind, event_id AS idx FROM events)
@@ -61,14 +54,6 @@ def payload_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.groupBy("lang").agg(F.round(F.median("ratio"), 6).alias("median_ratio"), F.round(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY ratio)"), 6).alias("p95_ratio"), F.sum("payload").cast("long").alias("total"))
 
 
-@query("SELECT lang, sha256(string_agg(doc_id || ':' || sha256(coalesce(text, '')), chr(10) ORDER BY doc_id)) AS digest FROM documents GROUP BY lang")
-def corpus_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A digest of each language's documents that depends on their order. Texts are digested before they meet."""
-    own = table(spark, sf_dir, "documents").select("lang", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("own"))
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "own"))), lambda s: F.concat(s["doc_id"].cast("string"), F.lit(":"), s["own"]))
-    return own.groupBy("lang").agg(F.sha2(F.array_join(listed, "\n"), 256).alias("digest"))
-
-
 @query("SELECT lang || '/' || source AS directory, count(*)::BIGINT AS stale FROM documents WHERE doc_id % 9 = 0 GROUP BY ALL ORDER BY directory LIMIT 3")
 def stale_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three directories that hold stale documents."""

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from lectern.functions import text as X
 from lectern.operators import keyword as K
 from lectern.operators import vector as N
+from lectern.operators.incremental import placed
 from lectern.plans.corpus import PASSAGES_SQL, QUESTIONS_SQL, SECTIONS_SQL, lexicon, passages, questions, section_vectors, sections, table
 from lectern.plans.registering import area
 from lectern.session import kept
@@ -101,7 +102,7 @@ WALK_SQL = "list_reduce(list_prepend('', list_transform(string_split(file_path,
 @query(f"WITH sections AS ({SECTIONS_SQL}) SELECT section_id, {WALK_SQL} AS walk, row_number() OVER (ORDER BY {WALK_SQL})::INT AS position FROM sections")
 def walk_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = sections(spark, sf_dir).select("section_id", X.walk_key(F.col("file_path")).alias("walk"))
-    return keyed.withColumn("position", F.row_number().over(Window.orderBy("walk")))
+    return placed(keyed, [F.col("walk")], "place").select("section_id", "walk", (F.col("place") + 1).cast("int").alias("position"))
 
 
 @query(f"""WITH {TERMS_SQL}, {FOUND_SQL}, {BM25_SQL}, placed AS (SELECT s.*, {WALK_SQL} AS walk FROM scored s JOIN sections USING (section_id))
