@@ -117,12 +117,6 @@ def hydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "source").join(keys, "doc_id", "left_semi").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
 
 
-@query("SELECT doc_id, sha256(string_agg(i || ':' || l, chr(10) ORDER BY i)) AS fingerprint FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents) GROUP BY doc_id")
-def parse_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(i.cast("string"), F.lit(":"), x))
-    return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.sha2(F.array_join(lines, "\n"), 256).alias("fingerprint"))
-
-
 @query(f"""WITH {_SECTIONS_SQL}, titled AS (SELECT s.*, string_split(heading_path, ' > ') AS p, string_split(content, chr(10)) AS l FROM sections s)
 SELECT doc_id, p[1] AS title, heading_path, heading_level, start_line, end_line, content, (len(list_filter(l, lambda x: starts_with(x, '- '))))::BIGINT AS passages FROM titled""")
 def markdown_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,10 +126,3 @@ def markdown_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = M.parsed(texts)
     counted = F.size(F.filter("passages", lambda p: p["list0"].isNotNull())).cast("long")
     return M.sections(made).join(made.select("doc_id", "title"), "doc_id").select(F.col("doc_id").cast("int").alias("doc_id"), "title", "heading_path", "heading_level", "start_line", "end_line", "content", counted.alias("passages"))
-
-
-@query("WITH x AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h1 FROM pages) SELECT page_id, CASE WHEN h1 <> '' THEN h1 WHEN title <> '' THEN title ELSE 'page-' || page_id END AS title FROM x")
-def title_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first of heading, title and name that there is."""
-    some = lambda tag: F.nullif(F.regexp_extract("html", f"<{tag}>([^<]*)</{tag}>", 1), F.lit(""))
-    return table(spark, sf_dir, "pages").select("page_id", F.coalesce(some("h1"), some("title"), F.concat(F.lit("page-"), F.col("page_id").cast("string"))).alias("title"))

@@ -189,5 +189,13 @@ def passages(section_rows: DataFrame) -> DataFrame:
     return spread.select("doc_id", "place", "ordinal", F.col("p.text").alias("content"), F.concat_ws(": ", "heading_path", "p.text").alias("embedded"), "p.line0", "p.line1", "p.table_line", "p.list0", "p.list1")
 
 
+def fingerprints(section_rows: DataFrame) -> DataFrame:
+    """(doc_id, fingerprint): a digest of all that was made of a document: paths, lines, contents and passages, in order."""
+    read = F.sha2(F.array_join(F.transform("passages", lambda p: p["text"]), "\n"), 256)
+    own = section_rows.select("doc_id", "place", F.concat_ws("|", "heading_path", "base_path", F.col("start_line").cast("string"), F.col("end_line").cast("string"), F.col("part_index").cast("string"), F.sha2("content", 256), read).alias("own"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("place", "own"))), lambda x: x["own"])
+    return own.groupBy("doc_id").agg(F.sha2(F.array_join(listed, "\n"), 256).alias("fingerprint"))
+
+
 def in_walk_order(files: DataFrame) -> DataFrame:
     return files.orderBy(walk_key(F.col("file_path")))
