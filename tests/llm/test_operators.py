@@ -111,7 +111,7 @@ def test_near_dedup_unlike_family(spark, monkeypatch):
     for n in (100, 200, 400):
         own = family(n)
         counted.clear()
-        found = collected(near_dedup.near_duplicates(spark.createDataFrame(own, "doc_id long, text string"), 85), "doc_id", "n_shingles", "component_id", "kept")
+        found = collected(near_dedup.near_duplicates(spark.createDataFrame(own, "doc_id long, text string"), 85, crowd=256), "doc_id", "n_shingles", "component_id", "kept")
         assert found == sorted(brute.near_dedup(own, 85), key=repr)
         shares.append(sum(counted) / n)
     assert shares[2] < 50 and shares[2] < shares[0] * 2, shares  # all pairs would be 200, four times those of 100 pages
