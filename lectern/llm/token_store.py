@@ -27,12 +27,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm.base import shared_dir, slices
+from lectern.llm.base import mixed, shared_dir, slices
 
 SHARD_TOKENS = 1 << 20
 #: Rules that one round of counting and replacing makes at most, those of the most frequent pairs. Rounds end when no
@@ -40,7 +39,7 @@ SHARD_TOKENS = 1 << 20
 RULES_A_ROUND = 5000
 SYMBOLS = 1 << 16
 #: Words whose ids a worker remembers.
-REMEMBERED = 1_500_000
+REMEMBERED = 2_000_000
 #: White space in the widest sense, two in a row or at an end: the words of such texts are not encoded one by one.
 SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 APART = rf"{SPACE}{SPACE}|\A{SPACE}|{SPACE}\z"
@@ -62,6 +61,28 @@ SHARDS = "part int, seq int, docs array<long>, starts array<int>, counts array<i
 ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("docs", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("rules", pa.binary()), ("spans", pa.binary()), ("symbols", pa.binary()), ("first_rule", pa.int32())])
 
 
+_RANDOM = np.random.default_rng(12).integers(0, 2**64, (2, 256), np.uint64)
+_ODD = (np.uint64(0x9DDFEA08EB382D69), np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def digests_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two times 64 bits of each word: sums of random numbers for its bytes, times powers for their places. No word becomes a Python string."""
+    words = words.cast(pa.large_binary())
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    lengths = np.diff(offsets)
+    out = (np.zeros(len(words), np.uint64), np.zeros(len(words), np.uint64))
+    full = np.flatnonzero(lengths)
+    if len(full):
+        data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        starts = (offsets[:-1] - offsets[0])[full]
+        place = np.arange(len(data), dtype=np.int32) - np.repeat(starts.astype(np.int32), lengths[full])
+        with np.errstate(over="ignore"):
+            for sums, table, odd in zip(out, _RANDOM, _ODD, strict=True):
+                powers = np.cumprod(np.full(int(lengths.max()), odd, np.uint64))
+                sums[full] = mixed(np.add.reduceat(table[data] * powers[place], starts) + lengths[full].astype(np.uint64))
+    return out
+
+
 class Encoder:
     """Ids of whole texts by a byte-level BPE file of the tokenizers library.
 
@@ -113,10 +134,9 @@ class Encoder:
             raise RuntimeError("a word's ids do not begin with a space")
         return ids.astype(np.uint16), np.append(starts, len(ids))
 
-    def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A stream of ids, and each distinct word's place and number of ids in it. What was met before is remembered."""
-        halves = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64).reshape(-1, 2)
-        digests, checks = halves[:, 0].copy(), halves[:, 1]
+        digests, checks = digests_of(words)
         place = np.searchsorted(self.digests, digests)
         place[place == len(self.digests)] = 0
         known = (self.digests[place] == digests) & (self.checks[place] == checks) if len(self.digests) else np.zeros(len(words), bool)
@@ -125,24 +145,22 @@ class Encoder:
         new = np.flatnonzero(~known)
         if len(new):
             # Common scripts are spelled here, others by the library: words of either kind are learnt together.
-            fresh = [words[i] for i in new.tolist()]
+            fresh = words.take(pa.array(new)).to_pylist()
             order = np.zeros(len(new), bool)
             if max("".join(fresh), default="") > chr(SPELLED):
                 order[:] = [max(w, default="") > chr(SPELLED) for w in fresh]
+            parts = [self.learn([fresh[i] for i in np.flatnonzero(own).tolist()]) for own in (~order, order) if own.any()]
             new = np.concatenate((new[~order], new[order]))
-            cut = int((~order).sum())
-            parts = [self.learn([words[i] for i in own.tolist()]) for own in (new[:cut], new[cut:]) if len(own)]
             ids = np.concatenate([x for x, _ in parts])
             bounds = np.concatenate([parts[0][1], *[b[1:] + len(parts[0][0]) for _, b in parts[1:]]])
             at[new], n[new] = bounds[:-1] + len(self.ids), np.diff(bounds)
             self.ids = np.concatenate((self.ids, ids))
             if len(self.digests) + len(new) <= REMEMBERED:
-                both = np.concatenate((self.digests, digests[new]))
-                order = np.argsort(both, kind="stable")
-                self.digests = both[order]
-                self.checks = np.concatenate((self.checks, checks[new]))[order]
-                self.at = np.concatenate((self.at, at[new].astype(np.uint32)))[order]
-                self.n = np.concatenate((self.n, n[new].astype(np.uint32)))[order]
+                # Merged into what is there, which is in order already.
+                new = new[np.argsort(digests[new], kind="stable")]
+                before = np.searchsorted(self.digests, digests[new])
+                self.digests, self.checks = np.insert(self.digests, before, digests[new]), np.insert(self.checks, before, checks[new])
+                self.at, self.n = np.insert(self.at, before, at[new].astype(np.uint32)), np.insert(self.n, before, n[new].astype(np.uint32))
         return self.ids, at, n
 
     def settle(self) -> None:
@@ -168,7 +186,7 @@ class Encoder:
         words = split.flatten()
         firsts = self.plain(words.filter(pa.array(leading)).to_pylist())
         coded = words.filter(pa.array(~leading)).dictionary_encode()
-        flat, at, n = self.of_words(coded.dictionary.to_pylist())
+        flat, at, n = self.of_words(coded.dictionary)
         codes = np.asarray(coded.indices)
         n, at = n[codes], at[codes]
         ends = np.cumsum(n)
@@ -218,8 +236,9 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, symbols_at_most
         if not len(found):
             break
         if len(found) > most:
-            best = np.lexsort((found, -counts[often]))[:most]
-            found = found[best]
+            # The highest counts, of equal ones the least pairs.
+            ranks = counts[often].astype(np.uint64) << np.uint64(32) | ~found.astype(np.uint32)
+            found = ~np.partition(ranks, len(ranks) - most)[len(ranks) - most :].astype(np.uint32)
         found = np.sort(found)
         # Rules by the number of the left and of the right symbol among those of chosen pairs; 0 for none.
         left, right = found >> np.uint32(16), found & np.uint32(0xFFFF)
