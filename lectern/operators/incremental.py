@@ -73,6 +73,41 @@ def verdict(indexed: Column, failed: Column, stale: Column, verified: Column) ->
     return F.when(indexed == 0, "empty").when(failed > 0, "failures").when(stale > 0, "stale").when(~F.coalesce(verified, F.lit(False)), "unverified").otherwise("complete")
 
 
+def restated(old: DataFrame, now: DataFrame, unreachable: list[str]) -> DataFrame:
+    """Failures (file_path, message) after a run: what it met ``now``, and of the ``old`` ones those below folders that it could not reach."""
+    below = F.lit(False)
+    for prefix in unreachable:
+        below |= F.col("file_path").startswith(prefix.rstrip("/") + "/")
+    return now.unionByName(old.filter(below).join(now.select("file_path"), "file_path", "left_anti").select(*now.columns))
+
+
+def swapped(table: DataFrame, changes: DataFrame, key: str, column: str) -> DataFrame:
+    """``table`` with ``column`` of ``changes`` (key, seen, column) where it is still what was seen, nulls included; and whether it was."""
+    new = changes.select(key, F.col("seen"), F.col(column).alias("_new"), F.lit(True).alias("_asked"))
+    fits = F.coalesce(F.col("_asked") & F.col("seen").eqNullSafe(F.col(column)), F.lit(False))
+    both = table.join(new, key, "left").withColumn("swapped", fits)
+    return both.select(*[F.when(F.col("swapped"), F.col("_new")).otherwise(F.col(column)).alias(column) if c == column else F.col(c) for c in table.columns], "swapped")
+
+
+def freshness(old: DataFrame, new: DataFrame, key: str, digest: Column) -> DataFrame:
+    """(key, state) of files as they are against as they were (key, length, mtime, digest): new, vanished, same, touched or changed.
+
+    ``digest`` reads a file of ``new``; it stands behind the comparison of times and lengths and is evaluated for files
+    that moved only.
+    """
+    joined = old.select(key, F.col("length").alias("_length"), F.col("mtime").alias("_mtime"), F.col("digest").alias("_digest"), F.lit(True).alias("_was")).join(new.withColumn("_is", F.lit(True)), key, "full_outer")
+    still = (F.col("_length") == F.col("length")) & (F.col("_mtime") == F.col("mtime"))
+    state = F.when(F.col("_was").isNull(), "new").when(F.col("_is").isNull(), "vanished").when(still, "same").when(F.col("_digest") == digest, "touched").otherwise("changed")
+    return joined.select(key, state.alias("state"))
+
+
+def weights_state(documents: DataFrame, vectors: DataFrame, revision: str, *by: str) -> DataFrame:
+    """Whether the vectors of each group of documents (doc_id, weights_revision) are certified for ``revision``, revoked as others made some, or forgotten as there are none."""
+    held = documents.join(vectors.select("doc_id").distinct().withColumn("_held", F.lit(True)), "doc_id", "left")
+    counts = held.groupBy(*by).agg(F.count("_held").alias("vectors"), F.count_if(F.col("_held") & ~F.col("weights_revision").eqNullSafe(F.lit(revision))).alias("others"))
+    return counts.select(*by, F.when(F.col("vectors") == 0, "forgotten").when(F.col("others") > 0, "revoked").otherwise("certified").alias("weights"))
+
+
 def placed(rows: DataFrame, order: list[Column], column: str) -> DataFrame:
     """Places from 0 in a global order: rows are dealt by ranges and counted there, and only the counts meet in one place."""
     parted = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))

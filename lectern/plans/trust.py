@@ -88,3 +88,53 @@ def parser_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = manifests(spark, sf_dir)
     pair = old.select(F.col("file_path").alias("path"), F.col("content_hash").alias("a")).join(new.select(F.col("file_path").alias("path"), F.col("content_hash").alias("b")), "path", "full_outer")
     return pair.filter(~F.col("a").eqNullSafe(F.col("b"))).select("path", F.when(F.col("a").isNull(), "new").when(F.col("b").isNull(), "lost").otherwise("changed").alias("state"))
+
+
+@query("""WITH f AS (SELECT DISTINCT lang AS root FROM documents UNION SELECT DISTINCT lang || '/' || source FROM documents UNION SELECT 'e') SELECT a.root, b.root AS other FROM f a JOIN f b ON starts_with(a.root || '/', b.root || '/') OR starts_with(b.root || '/', a.root || '/')""")
+def related_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which folders are above, below or the same as others: a folder is joined with those on its own path."""
+    docs = table(spark, sf_dir, "documents")
+    roots = docs.select(F.col("lang").alias("root")).union(docs.select(F.concat_ws("/", "lang", "source"))).union(spark.sql("SELECT 'e'")).distinct()
+    parts = F.split("root", "/")
+    above = roots.select("root", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("other")).join(roots.withColumnRenamed("root", "other"), "other", "left_semi").select("root", "other")
+    both = above.union(above.select(F.col("other"), F.col("root"))).distinct()
+    return both.filter(X.is_related(F.col("root"), F.col("other")))
+
+
+@query("""WITH old AS (SELECT doc_id, lang || '/d' || doc_id AS file_path, 'failed' AS message FROM documents WHERE doc_id % 3 = 0), now AS (SELECT lang || '/d' || doc_id AS file_path, 'failed again' AS message FROM documents WHERE doc_id % 5 = 0)
+SELECT file_path, message FROM now UNION ALL SELECT file_path, message FROM old WHERE starts_with(file_path, 'de/') AND file_path NOT IN (SELECT file_path FROM now)""")
+def failure_bookkeeping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failures after a run that could not read de/: those it met, and of the others only what it could not reach."""
+    path = F.concat(F.col("lang"), F.lit("/d"), F.col("doc_id").cast("string")).alias("file_path")
+    docs = table(spark, sf_dir, "documents")
+    old = docs.filter("doc_id % 3 = 0").select(path, F.lit("failed").alias("message"))
+    return I.restated(old, docs.filter("doc_id % 5 = 0").select(path, F.lit("failed again").alias("message")), ["de"])
+
+
+@query("""WITH d AS (SELECT doc_id, n_chars AS mtime, lang FROM documents), w AS (SELECT doc_id, n_chars + (doc_id % 7 = 0)::INT AS seen, n_chars + 100 AS mtime FROM documents WHERE doc_id % 2 = 0)
+SELECT d.doc_id, CASE WHEN w.seen = d.mtime THEN w.mtime ELSE d.mtime END AS mtime, coalesce(w.seen = d.mtime, false) AS swapped FROM d LEFT JOIN w ON w.doc_id = d.doc_id""")
+def compare_and_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times that are set only where they are still what the writer saw."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("mtime"))
+    changes = docs.filter("doc_id % 2 = 0").select("doc_id", (F.col("mtime") + (F.col("doc_id") % 7 == 0).cast("int")).alias("seen"), (F.col("mtime") + 100).alias("mtime"))
+    return I.swapped(docs, changes, "doc_id", "mtime")
+
+
+@query("""WITH o AS (SELECT doc_id, n_chars AS length, doc_id * 3 AS mtime, text FROM documents WHERE doc_id % 11 <> 0), n AS (SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN n_chars + 1 ELSE n_chars END AS length, CASE WHEN doc_id % 4 = 0 THEN doc_id * 3 + 1 ELSE doc_id * 3 END AS mtime, CASE WHEN doc_id % 8 = 0 THEN 'new' ELSE text END AS text FROM documents WHERE doc_id % 13 <> 0)
+SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'new' WHEN n.doc_id IS NULL THEN 'vanished' WHEN o.length = n.length AND o.mtime = n.mtime THEN 'same' WHEN sha256(coalesce(o.text, '')) = sha256(coalesce(n.text, '')) THEN 'touched' ELSE 'changed' END AS state FROM o FULL JOIN n ON o.doc_id = n.doc_id""")
+def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files by time and length first; only those that moved are digested."""
+    docs = table(spark, sf_dir, "documents")
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    old = docs.filter("doc_id % 11 <> 0").select("doc_id", F.col("n_chars").alias("length"), (F.col("doc_id") * 3).alias("mtime"), digest.alias("digest"))
+    new = docs.filter("doc_id % 13 <> 0").select("doc_id", F.when(F.col("doc_id") % 6 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("length"), (F.col("doc_id") * 3 + (F.col("doc_id") % 4 == 0).cast("int")).alias("mtime"), F.when(F.col("doc_id") % 8 == 0, "new").otherwise(F.col("text")).alias("text"))
+    return I.freshness(old, new, "doc_id", digest)
+
+
+@query("""WITH s AS (SELECT doc_id, lang, source FROM documents), v AS (SELECT doc_id FROM documents WHERE doc_id % 3 > 0 AND source <> 'src0'), w AS (SELECT lang, count(v.doc_id) AS vectors, count(*) FILTER (WHERE s.doc_id % 10 = 0 AND v.doc_id IS NOT NULL) AS foreign_ones FROM s LEFT JOIN v ON v.doc_id = s.doc_id GROUP BY lang)
+SELECT lang, CASE WHEN vectors = 0 THEN 'forgotten' WHEN foreign_ones > 0 THEN 'revoked' ELSE 'certified' END AS weights FROM w""")
+def weights_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the vectors of each language may be trusted: all of one model, some of another, or there are none."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.when(F.col("doc_id") % 10 == 0, "old").otherwise("m").alias("weights_revision"))
+    vectors = docs.filter("doc_id % 3 > 0 AND source <> 'src0'").select("doc_id")
+    return I.weights_state(docs, vectors, "m", "lang")
