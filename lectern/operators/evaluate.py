@@ -138,30 +138,30 @@ def resolved_labels(labels: DataFrame, sections: DataFrame) -> DataFrame:
     return found.select("label", "matches", *[F.when(F.col("matches") == 1, F.col(c)).alias(c) for c in ("file_path", "heading_path")])
 
 
-def contained_phrases(items: DataFrame, docs: DataFrame, key: int = 4) -> DataFrame:
+def contained_phrases(items: DataFrame, docs: DataFrame) -> DataFrame:
     """(item_id, doc_id) of items (item_id, text) whose tokens are a run of the document's (doc_id, text), whole.
 
-    Items are found by a run of ``key`` tokens, or of all where they have fewer, and only then compared whole. Which of
-    an item's runs that is, is the one that the fewest items begin with or hold, so that common openings meet nothing.
+    An item is looked for by the one of its tokens that the fewest documents have, and compared whole with those alone.
     Items without tokens are in nothing.
     """
     tokens = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    runs = lambda t, k: F.transform(F.sequence(F.lit(1), F.size(t) - k + 1), lambda i: F.xxhash64(F.lit(0), F.array_join(F.slice(t, i, k), " ")))
-    own = items.select("item_id", tokens(F.col("text")).alias("t")).filter(F.size("t") > 0).withColumn("k", F.least(F.size("t"), F.lit(key)))
-    spread = own.select("item_id", "t", "k", F.explode(F.array_distinct(runs(F.col("t"), F.col("k")))).alias("run"))
-    often = spread.groupBy("run").agg(F.count("*").alias("n"))
-    chosen = spread.join(often, "run").groupBy("item_id").agg(F.min(F.struct("n", "run")).alias("c"), F.first("k").alias("k"), F.first("t").alias("t"))
-    chosen = chosen.select("item_id", "k", F.col("c.run").alias("run"), F.concat(F.lit(" "), F.array_join("t", " "), F.lit(" ")).alias("phrase"))
-    texts = docs.select("doc_id", tokens(F.col("text")).alias("t")).filter(F.size("t") > 0)
-    widths = [r["k"] for r in chosen.select("k").distinct().collect()]  # ``key`` numbers at most
-    held = F.array_distinct(F.flatten(F.array(*[F.when(F.size("t") >= k, runs(F.col("t"), F.lit(k))).otherwise(F.array().cast("array<bigint>")) for k in widths]))) if widths else F.array().cast("array<bigint>")
-    met = texts.select("doc_id", "t", F.explode(held).alias("run")).join(F.broadcast(chosen), "run") if _small(chosen) else texts.select("doc_id", "t", F.explode(held).alias("run")).join(chosen, "run")
-    return met.filter(F.concat(F.lit(" "), F.array_join("t", " "), F.lit(" ")).contains(F.col("phrase"))).select("item_id", "doc_id").distinct()
-
-
-def _small(items: DataFrame, most: int = 10_000) -> bool:
-    """Whether so few items are asked that they may go to all tasks."""
-    return items.limit(most + 1).count() <= most
+    phrase = lambda t: F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" "))
+    own = items.select("item_id", tokens(F.col("text")).alias("t")).filter(F.size("t") > 0)
+    own = own.select("item_id", phrase(F.col("t")).alias("phrase"), F.array_distinct("t").alias("t"))
+    wanted = own.select(F.explode("t").alias("token")).distinct()
+    sent = (lambda df: F.broadcast(df)) if _small(wanted) else (lambda df: df)
+    held = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
+    often = held.join(sent(wanted), "token").groupBy("token").agg(F.count("*").alias("n"))
+    rarest = own.select("item_id", F.explode("t").alias("token")).join(often, "token", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("r"))
+    rarest = rarest.filter("r.n > 0").select("item_id", "r.token")
+    met = held.join(sent(rarest), "token").select("item_id", "doc_id").distinct()
+    texts = docs.select("doc_id", "text").join(met, "doc_id").select("item_id", "doc_id", phrase(tokens(F.col("text"))).alias("own"))
+    return texts.join(own.select("item_id", "phrase"), "item_id").filter(F.col("own").contains(F.col("phrase"))).select("item_id", "doc_id").distinct()
+
+
+def _small(rows: DataFrame, most: int = 50_000) -> bool:
+    """Whether so few short rows are asked for that they may go to all tasks."""
+    return rows.limit(most + 1).count() <= most
 
 
 def no_answer(pages: DataFrame, *by: str) -> DataFrame:

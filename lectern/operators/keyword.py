@@ -19,10 +19,9 @@ MOST_FILTERED = 2000
 
 
 def postings(sections: DataFrame, fields: dict[str, float] = FIELD_WEIGHTS, analyze: Analyzer = tokens) -> DataFrame:
-    """(term, section_id, field, tf, positions) of all fields."""
+    """(term, section_id, field, position) of every token of all fields."""
     each = sections.select("section_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), analyze(F.col(f)).alias("tokens")) for f in fields])).alias("x"))
-    spread = each.select("section_id", "x.field", F.posexplode("x.tokens").alias("position", "term"))
-    return spread.groupBy("term", "section_id", "field").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
+    return each.select(F.col("section_id"), "x.field", F.posexplode("x.tokens").alias("position", "term")).select("term", "section_id", "field", "position")
 
 
 def lengths(sections: DataFrame, fields: dict[str, float] = FIELD_WEIGHTS, analyze: Analyzer = tokens) -> DataFrame:
@@ -50,8 +49,8 @@ class Lexicon:
 
 
 def stored_order(table: DataFrame) -> DataFrame:
-    """Postings as they are written: by term, and a term that is everywhere over several files."""
-    return table.repartitionByRange("term", "section_id").sortWithinPartitions("term", "section_id")
+    """Postings as they are written: each file in the order of terms, so that pages without a wanted one are passed over, and a term that is everywhere over several files."""
+    return table.repartition("term", F.pmod("section_id", F.lit(8))).sortWithinPartitions("term", "section_id")
 
 
 def term_table(queries: DataFrame, most: int = MAX_QUERY_TERMS, analyze: Analyzer = tokens) -> DataFrame:
@@ -63,16 +62,15 @@ def term_table(queries: DataFrame, most: int = MAX_QUERY_TERMS, analyze: Analyze
 def occurrences(lexicon: Lexicon, terms: DataFrame) -> DataFrame:
     """(query_id, term_id, section_id, weight): field-weighted occurrences of each term as a run of adjacent tokens.
 
-    What several queries ask is looked up once. Positions are read for terms of several tokens only: a run is complete
-    when all its places agree on where it starts.
+    What several queries ask is looked up once. A run of several tokens is complete when all its places agree on where it
+    starts.
     """
     phrased = terms.select("query_id", "term_id", "tokens", F.array_join("tokens", " ").alias("phrase"))
     words = phrased.select("phrase", "tokens").distinct().select("phrase", F.size("tokens").alias("k"), F.posexplode("tokens").alias("ord", "term"))
     weight = F.coalesce(*[F.when(F.col("field") == f, F.lit(w)) for f, w in lexicon.fields.items()])
     met = lexicon.of_tokens(terms).join(words, "term").withColumn("weight", weight)
-    single = met.filter("k = 1").groupBy("phrase", "section_id").agg(F.sum(F.col("weight") * F.col("tf")).alias("weight"))
-    places = met.filter("k > 1").select("phrase", "section_id", "field", "weight", "k", "ord", F.explode("positions").alias("position"))
-    runs = places.groupBy("phrase", "section_id", "field", (F.col("position") - F.col("ord")).alias("start")).agg(F.count("*").alias("n"), F.first("k").alias("k"), F.first("weight").alias("weight"))
+    single = met.filter("k = 1").groupBy("phrase", "section_id").agg(F.sum("weight").alias("weight"))
+    runs = met.filter("k > 1").groupBy("phrase", "section_id", "field", (F.col("position") - F.col("ord")).alias("start")).agg(F.count("*").alias("n"), F.first("k").alias("k"), F.first("weight").alias("weight"))
     whole = runs.filter("n = k").groupBy("phrase", "section_id").agg(F.sum("weight").alias("weight"))
     return phrased.select("query_id", "term_id", "phrase").join(single.unionByName(whole), "phrase").select("query_id", "term_id", "section_id", "weight")
 

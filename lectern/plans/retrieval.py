@@ -214,7 +214,12 @@ fused AS (SELECT query_id, section_id, round(sum(1.0::DOUBLE / (60 + position)),
 @query(f"WITH {_HYBRID} SELECT query_id, section_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, section_id)::INT AS position FROM fused QUALIFY position <= 5")
 def hybrid_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both lanes for a batch of queries, fused: the engine's flagship."""
-    own, asked, words = sections(spark, sf_dir), questions(spark, sf_dir), lexicon(spark, sf_dir)
+    return pages(spark, sf_dir, questions(spark, sf_dir))
+
+
+def pages(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
+    """The first five sections of each query (query_id, query), by the index of a folder's sections."""
+    own, words = sections(spark, sf_dir), lexicon(spark, sf_dir)
     terms = K.term_table(asked)
     found = kept(K.occurrences(words, terms))
     passed = K.gate(own, terms, found).filter("passed").select("query_id", "section_id")

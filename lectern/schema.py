@@ -10,7 +10,7 @@ DOCUMENT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("f
 SECTION = T.StructType([T.StructField("section_id", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("heading_title", T.StringType()), T.StructField("heading_level", T.IntegerType()), T.StructField("heading_path", T.StringType()), T.StructField("base_path", T.StringType()), T.StructField("content", T.StringType()), T.StructField("start_line", T.IntegerType()), T.StructField("end_line", T.IntegerType()), T.StructField("part_index", T.IntegerType())])
 PASSAGE = T.StructType([T.StructField("section_id", T.LongType()), T.StructField("ordinal", T.IntegerType()), T.StructField("content", T.StringType()), T.StructField("line0", T.IntegerType()), T.StructField("line1", T.IntegerType()), T.StructField("table_line", T.IntegerType()), T.StructField("list0", T.IntegerType()), T.StructField("list1", T.IntegerType())])
 VECTOR = T.StructType([T.StructField("owner_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType(), False))])
-POSTING = T.StructType([T.StructField("term", T.StringType()), T.StructField("section_id", T.LongType()), T.StructField("field", T.StringType()), T.StructField("tf", T.LongType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])
+POSTING = T.StructType([T.StructField("term", T.StringType()), T.StructField("section_id", T.LongType()), T.StructField("field", T.StringType()), T.StructField("position", T.IntegerType())])
 FAILURE = T.StructType([T.StructField("file_path", T.StringType()), T.StructField("message", T.StringType())])
 COVERAGE = T.StructType([T.StructField("root", T.StringType()), T.StructField("verified", T.BooleanType()), T.StructField("gitignore", T.StringType())])
 
