@@ -267,6 +267,54 @@ def verdict_errors(items: DataFrame, verdicts: DataFrame, allowed: list[str]) ->
     return both.select("item", error.alias("error")).filter("error IS NOT NULL")
 
 
+def merged_grades(grades: DataFrame, scale: list[str]) -> DataFrame:
+    """(item, grade, disagreed) of two graders' (item, a, b, key): where they agree their grade, else the key's, else the lower on the ``scale``."""
+    place = F.array(*map(F.lit, scale))
+    lower = F.element_at(place, F.least(F.array_position(place, F.col("a")), F.array_position(place, F.col("b"))).cast("int"))
+    return grades.select("item", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.coalesce("key", lower)).alias("grade"), (F.col("a") != F.col("b")).alias("disagreed"))
+
+
+def payload_ratios(pages: DataFrame, *by: str) -> DataFrame:
+    """What an answer costs, of (payload, answer) in tokens: the median and the 95th percentile of their ratio, and all payload."""
+    each = pages.withColumn("_ratio", F.col("payload") / F.col("answer"))
+    return each.groupBy(*by).agg(F.round(F.median("_ratio"), 6).alias("median_ratio"), F.round(nearest_rank("_ratio", 0.95), 6).alias("p95_ratio"), F.sum("payload").cast("long").alias("total"))
+
+
+def replayed(asked: DataFrame, stored: DataFrame) -> DataFrame:
+    """Texts that are asked (text) with what is stored for the same text, and whether nothing is."""
+    return asked.select("text").distinct().join(stored.withColumn("_there", F.lit(True)), "text", "left").withColumn("missing", F.col("_there").isNull()).drop("_there")
+
+
+def record_errors(records: DataFrame, constraints: dict[str, Column], strata: str | None = None, sizes: dict | None = None) -> DataFrame:
+    """(key, error) of records that break a constraint, share their key, or belong to a stratum of another size than it must have (key null)."""
+    broken = F.filter(F.array(*[F.when(F.coalesce(~holds, F.lit(True)), message) for message, holds in constraints.items()]), lambda e: e.isNotNull())
+    out = records.select("key", F.explode(broken).alias("error"))
+    out = out.unionByName(records.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", F.lit("key used twice").alias("error")))
+    if strata and sizes:
+        wanted = records.sparkSession.createDataFrame([(str(k), int(n)) for k, n in sizes.items()], "stratum string, wanted long")
+        found = records.groupBy(F.col(strata).cast("string").alias("stratum")).agg(F.count("*").alias("n"))
+        off = wanted.join(found, "stratum", "full_outer").filter(~F.col("n").eqNullSafe(F.col("wanted")))
+        out = out.unionByName(off.select(F.lit(None).cast(records.schema["key"].dataType).alias("key"), F.concat(F.lit("stratum "), "stratum", F.lit(" has "), F.coalesce("n", F.lit(0)).cast("string"), F.lit(" of "), F.coalesce("wanted", F.lit(0)).cast("string")).alias("error")))
+    return out
+
+
+def retention(judged: DataFrame, *by: str) -> DataFrame:
+    """How often excerpts kept the answer, of (kept, cost, whole): the share, and their cost with a second read of the whole where they did not, over that of whole sections."""
+    cost = F.col("cost") + F.when(F.col("kept"), 0).otherwise(F.col("whole"))
+    return judged.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(F.col("kept").cast("int")), 6).alias("retention"), F.round(F.sum(cost) / F.sum("whole"), 6).alias("cost_ratio"))
+
+
+def majority(votes: DataFrame) -> DataFrame:
+    """(item, yes, majority) of judges' votes (item, vote): whether more than half said 1."""
+    return votes.groupBy("item").agg(F.sum("vote").cast("long").alias("yes"), (2 * F.count_if(F.col("vote") == 1) > F.count("*")).alias("majority"))
+
+
+def drift(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(item, drift) of what keeps a frozen set of (item, value) from being the same set: missing, added or changed."""
+    both = old.select("item", F.struct("value").alias("a")).join(new.select("item", F.struct("value").alias("b")), "item", "full_outer").filter(~F.col("a").eqNullSafe(F.col("b")))
+    return both.select("item", F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "missing").otherwise("changed").alias("drift"))
+
+
 def evicted(entries: DataFrame, most: int, *by: str) -> DataFrame:
     """Entries (key, size, used) of a cache to drop: those that the more recently used ones leave no room for within ``most``."""
     newer = Window.partitionBy(*by).orderBy(F.col("used").desc(), "key").rowsBetween(Window.unboundedPreceding, 0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -74,3 +74,33 @@ def normalised_calls(lines: DataFrame) -> DataFrame:
     failed = F.when(F.col("kind") == "command_execution", F.coalesce(F.col("code") != 0, F.lit(False))).otherwise(F.col("error").isNotNull() | F.coalesce(F.col("status") == "failed", F.lit(False)))
     other = item.filter(F.col("kind").isin("command_execution", "mcp_tool_call")).select("file", "seq", "id", F.when(F.col("kind") == "command_execution", "Bash").otherwise(F.col("tool")).alias("name"), failed.alias("failed"))
     return one.unionByName(other)
+
+
+def adopted(calls: DataFrame) -> DataFrame:
+    """(session, searched, before_reading) of calls (session, idx, kind): whether it searched at all, and before it first read a file by hand."""
+    first = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("idx")))
+    own = calls.groupBy("session").agg(first("search").alias("s"), first("file").alias("r"))
+    return own.select("session", F.col("s").isNotNull().alias("searched"), (F.col("s").isNotNull() & (F.col("r").isNull() | (F.col("s") < F.col("r")))).alias("before_reading"))
+
+
+def access(tool: Column, argument: Column) -> Column:
+    """How a call reaches documentation: by the index's tools, by reading a Markdown file, by a shell command that prints or
+    searches one, by editing one, or not at all. ``argument`` is the path or the command."""
+    markdown = F.regexp_like(argument, F.lit(r"(?i)\.(?:md|markdown)\b"))
+    shell = F.regexp_like(argument, F.lit(r"(?:^|[;&|(\s])(?:cat|less|more|head|tail|sed|awk|grep|rg|bat)\s"))
+    return (
+        F.when(tool.startswith("mcp__docs__"), "index")
+        .when(tool.isin("Edit", "Write") & markdown, "edit")
+        .when((tool == "Read") & markdown, "file")
+        .when((tool == "Bash") & markdown & shell, "shell")
+        .otherwise("none")
+    )
+
+
+def access_report(calls: DataFrame) -> DataFrame:
+    """(access, n, failed, share) of calls (session, tool, argument, failed). A file that its session edits is work, not documentation, and does not count as read."""
+    own = calls.withColumn("access", access(F.col("tool"), F.col("argument")))
+    edited = own.filter("access = 'edit'").select("session", F.col("argument").alias("edited")).distinct()
+    kept = own.filter("access <> 'file'").unionByName(own.filter("access = 'file'").join(edited, (own["session"] == edited["session"]) & (own["argument"] == edited["edited"]), "left_anti"))
+    counts = kept.groupBy("access").agg(F.count("*").alias("n"), F.count_if("failed").alias("failed"))
+    return counts.select("access", "n", "failed", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6).alias("share"))

@@ -113,7 +113,7 @@ def phrase_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH v AS (SELECT doc_id AS item, [quality, toxic, (doc_id % 3 = 0)::INT] AS votes FROM labels) SELECT item, list_sum(votes)::BIGINT AS yes, 2 * list_sum(votes) > 3 AS majority FROM v")
 def judge_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
     votes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("item"), F.explode(F.array("quality", "toxic", (F.col("doc_id") % 3 == 0).cast("int"))).alias("vote"))
-    return votes.groupBy("item").agg(F.sum("vote").cast("long").alias("yes"), (2 * F.count_if(F.col("vote") == 1) > F.count("*")).alias("majority"))
+    return E.majority(votes)
 
 
 @query("WITH a AS (SELECT o_custkey AS task, o_orderstatus AS arm, o_orderkey AS attempt, o_totalprice FROM orders) SELECT task, arm, max(attempt) AS attempt, arg_max(o_totalprice, attempt) AS o_totalprice FROM a GROUP BY ALL")
