@@ -24,9 +24,16 @@ def graded(results: DataFrame, qrels: DataFrame, cut: int = 5, deepest: int = 20
 
 
 def rates(grades: DataFrame, *by: str) -> DataFrame:
-    """Top-1, top-3 and top-5 rates, any valid first, and the mean nDCG of each group."""
+    """Top-1, top-3 and top-5 rates, any valid first, and the mean nDCG of each group; of grades with ``ms``, its median and 95th percentile."""
     hit = [F.round(F.avg(F.coalesce(F.col("rank") <= k, F.lit(False)).cast("int")), 6).alias(f"top{k}") for k in (1, 3, 5)]
-    return grades.groupBy(*by).agg(F.count("*").alias("n"), *hit, F.round(F.avg(F.col("any_valid").cast("int")), 6).alias("any_valid"), F.round(F.avg("ndcg"), 6).alias("ndcg"))
+    latency = [F.round(F.median("ms"), 6).alias("median_ms"), F.round(nearest_rank("ms", 0.95), 6).alias("p95_ms")] if "ms" in grades.columns else []
+    return grades.groupBy(*by).agg(F.count("*").alias("n"), *hit, F.round(F.avg(F.col("any_valid").cast("int")), 6).alias("any_valid"), F.round(F.avg("ndcg"), 6).alias("ndcg"), *latency)
+
+
+def nth(rows: DataFrame, n: int, order: str, *by: str) -> DataFrame:
+    """The row of each group with ``n`` others before it, counted from 0, in descending order; of groups with fewer, none."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(order).desc(), *[c for c in rows.columns if c not in (order, *by)]))
+    return rows.withColumn("_place", place).filter(F.col("_place") == n + 1).drop("_place")
 
 
 def nearest_rank(value: str, share: float) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.functions.text import token_estimate
+from lectern.functions.text import casefolded, token_estimate
 from lectern.schema import PATH_SEPARATOR
 
 
@@ -66,9 +66,9 @@ def resolve(sections: DataFrame, asked: DataFrame) -> DataFrame:
     own = sections.select("doc_id", "heading_path").distinct()
     met = asked.join(own, "doc_id")
     want, have = F.col("path"), F.col("heading_path")
-    even, low = normal_path(want), F.lower(normal_path(want))
-    tiers = [have == want, have == even, F.lower(have) == low]
-    tiers += [have.endswith(F.concat(F.lit(PATH_SEPARATOR), x)) for x in (want, even)] + [F.lower(have).endswith(F.concat(F.lit(PATH_SEPARATOR), low))]
+    even, low = normal_path(want), casefolded(normal_path(want))
+    tiers = [have == want, have == even, casefolded(have) == low]
+    tiers += [have.endswith(F.concat(F.lit(PATH_SEPARATOR), x)) for x in (want, even)] + [casefolded(have).endswith(F.concat(F.lit(PATH_SEPARATOR), low))]
     tier = F.lit(None).cast("int")
     for n in range(len(tiers) - 1, -1, -1):
         tier = F.when(tiers[n], n).otherwise(tier)

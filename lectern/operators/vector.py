@@ -101,11 +101,12 @@ def page(fused: DataFrame, sections: DataFrame, limit: int) -> DataFrame:
 def pooled(passages: DataFrame) -> DataFrame:
     """(owner_id, embedding): the mean of each owner's vectors, scaled to 1; the first vector where they cancel out.
 
-    ``passages`` has (owner_id, ordinal, embedding). Sums are taken place by place, so partial sums are as many
+    ``passages`` has (owner_id, ordinal, embedding). Sums are exact, in decimals, so that they do not depend on the order in
+    which parts meet, and taken place by place, so partial sums are as many
     as owners and dimensions, however many vectors one owner has.
     """
     spread = passages.select("owner_id", F.posexplode("embedding").alias("at", "x"))
-    means = spread.groupBy("owner_id", "at").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+    means = spread.groupBy("owner_id", "at").agg((F.sum(F.col("x").cast("double").cast("decimal(38,18)")).cast("double") / F.count("*")).alias("mean"))
     vectors = means.groupBy("owner_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "mean"))), lambda s: s["mean"]).alias("mean"))
     first = passages.groupBy("owner_id").agg(F.min_by("embedding", "ordinal").alias("first"))
     joined = vectors.join(first, "owner_id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.operators import usage as U
 from lectern.plans.corpus import table
 from lectern.plans.registering import area
+from lectern.sources import logs
 
 QUERIES, ORACLE_SQL, query = area()
 
@@ -57,12 +58,20 @@ def task_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.task_context(table(spark, sf_dir, "conversations"))
 
 
-@query("SELECT query, count(*)::BIGINT AS n, array_to_string(list(conv_id ORDER BY conv_id), ',') AS places FROM (SELECT conv_id, string_split(text, ' ')[1] AS query FROM conversations WHERE turn = 0) GROUP BY query")
+@query("SELECT text AS query, count(*)::BIGINT AS n, array_to_string(list(conv_id * 1000 + turn ORDER BY conv_id * 1000 + turn), ',') AS places FROM conversations WHERE role = 'user' GROUP BY text")
 def query_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "conversations").filter("turn = 0").select(F.split("text", " ")[0].alias("query"), F.col("conv_id").alias("place"))
+    """What users asked, in whole, with how often and where."""
+    own = table(spark, sf_dir, "conversations").filter("role = 'user'").select(F.col("text").alias("query"), (F.col("conv_id") * 1000 + F.col("turn")).alias("place"))
     return U.distinct_queries(own).select("query", "n", F.array_join(F.transform("places", lambda x: x.cast("string")), ",").alias("places"))
 
 
+@query("SELECT event_id, event_id % 3 <> 0 AS refused FROM events")
+def strict_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of JSON, some broken and some with a field twice: both are refused."""
+    line = F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, F.lit('{"k": 1, "k": 2}')).otherwise(F.concat(F.lit("{"), "props"))
+    return logs.strict_json(table(spark, sf_dir, "events").select("event_id", line.alias("line"))).select("event_id", "refused")
+
+
 @query("SELECT event_type, (count(*) FILTER (WHERE k IS NULL))::BIGINT AS broken, sum(k)::BIGINT AS total FROM (SELECT event_type, TRY_CAST(json_extract(CASE WHEN event_id % 10 = 0 THEN NULL ELSE props END, '$.k') AS BIGINT) AS k FROM events) GROUP BY event_type")
 def tolerant_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of JSON, some of them broken: those are counted and left out."""

@@ -12,6 +12,12 @@ def json_lines(spark: SparkSession, path: str, fields: dict[str, str]) -> DataFr
     return lines.select(*[F.try_variant_get("v", *spec.rsplit(" ", 1)).alias(name) for name, spec in fields.items()])
 
 
+def strict_json(lines: DataFrame, column: str = "line") -> DataFrame:
+    """Adds ``value`` and ``refused`` to lines: those that are no JSON, or name a field twice, have no value and are refused."""
+    value = F.try_parse_json(column)
+    return lines.withColumn("value", value).withColumn("refused", F.col(column).isNull() | F.col("value").isNull())
+
+
 def labelled_queries(spark: SparkSession, path: str) -> DataFrame:
     """(split, kind, query, expected, also_valid) of a JSON file of splits, each with kinds of queries."""
     entry = "array<struct<query:string,expected:string,also_valid:map<string,int>>>"

@@ -122,3 +122,19 @@ def test_stemmed_lane(spark):
     own = spark.createDataFrame([(1, "", "", "retrying requests"), (2, "", "", "other words")], "section_id long, heading_title string, heading_path string, content string")
     terms = K.term_table(spark.createDataFrame([(0, "retry request")], "query_id long, query string"), analyze=stemmed)
     assert {r["section_id"] for r in K.bm25(K.Lexicon.of(own, analyze=stemmed), terms).collect()} == {1} and K.bm25(K.Lexicon.of(own), K.term_table(spark.createDataFrame([(0, "retry")], "query_id long, query string"))).count() == 0
+
+
+def test_case_folding(spark):
+    words = ["Straße", "ΣΊΣΥΦΟΣ", "ﬁne ﬂow", "ſet", "ẞ", "Éa", "plain"]
+    found = [r[0] for r in spark.createDataFrame(list(enumerate(words)), "i int, t string").orderBy("i").select(X.casefolded(F.col("t"))).collect()]
+    assert found == [w.casefold() for w in words]
+
+
+def test_excerpt_vectors():
+    from lectern.operators.literal import excerpt
+
+    text = "# T\n\n" + "\n\n".join(f"para{i} word" for i in range(6))
+    lines = lambda k: excerpt(text, [f"para{k}"], False, k, "# T")
+    assert lines(2) == (4, 13) and lines(0) == (2, 9) and lines(4) == (8, 13)
+    assert excerpt(text, ["para2"], False, 2, "# T", stored=["other"]) is None and excerpt(text, ["T"], False, 2, "# T") is None
+    assert excerpt("# T\n\na\n\nb\n\nc", ["a"], False, 0, "# T") is None
