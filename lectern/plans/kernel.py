@@ -55,10 +55,10 @@ def oversized_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "heading_path", "part_index", "start_line", "end_line", F.size("passages").cast("long").alias("passages"), F.sha2("content", 256).alias("content"))
 
 
-@query(f"WITH {_BY_REGION} SELECT doc_id, 'Name: ' || c_name || '; Segment: ' || c_mktsegment AS text FROM o")
+@query(f"WITH {_BY_REGION} SELECT doc_id, 'Name: ' || rpad(c_name, 60, 'x') || '; Segment: ' || c_mktsegment AS text FROM o")
 def table_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row of a table is a passage that names its columns, also in parts where the header stands in an earlier one."""
-    lines = _customers(spark, sf_dir, "region").withColumn("line", F.concat(F.lit("| "), "c_name", F.lit(" | "), "c_mktsegment", F.lit(" |")))
+    lines = _customers(spark, sf_dir, "region").withColumn("line", F.concat(F.lit("| "), F.rpad("c_name", 60, "x"), F.lit(" | "), "c_mktsegment", F.lit(" |")))
     made = M.sections(M.parsed(_texts(lines, "c_custkey", "line", "# %1$s\n\n| Name | Segment |\n| --- | --- |\n")))
     return made.select("doc_id", F.explode("passages").alias("p")).select("doc_id", "p.text")
 
@@ -81,13 +81,14 @@ def open_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.sections(M.parsed(texts)).select("doc_id", "heading_path")
 
 
-_TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
+# Letters and spaces only: marks and entities are the inlines' affair.
+_TITLE = "trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[^\\p{L}]+', ' ', 'g'))"
 
 
-@query(f"SELECT page_id, CASE page_id % 4 WHEN 3 THEN 'page-' || page_id ELSE trim(regexp_replace({_TITLE}, '\\s+', ' ', 'g')) END AS title FROM pages WHERE {_TITLE} <> ''")
+@query(f"SELECT page_id, CASE page_id % 4 WHEN 3 THEN 'page-' || page_id ELSE {_TITLE} END AS title FROM pages WHERE {_TITLE} <> ''")
 def title_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first heading of level 1, else the title in the metadata, else the first heading, else the file's name."""
-    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    title = F.trim(F.regexp_replace(F.regexp_extract("html", "<title>([^<]*)</title>", 1), r"[^\p{L}]+", " "))
     text = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("---\ntitle: other\n---\n\n## sub\n\n# "), title, F.lit("\n"))).when(F.col("page_id") % 4 == 1, F.concat(F.lit("---\nname: other\ntitle: "), title, F.lit("\n---\n\n## sub\n"))).when(F.col("page_id") % 4 == 2, F.concat(F.lit("text\n\n### "), title, F.lit("\n"))).otherwise(F.lit("---\ntitle: [a, b]\n---\ntext\n"))
     pages = table(spark, sf_dir, "pages").filter(title != "").select(F.col("page_id").alias("doc_id"), F.concat(F.lit("a/page-"), F.col("page_id").cast("string"), F.lit(".md")).alias("file_path"), text.alias("text"))
     return M.parsed(pages).select(F.col("doc_id").alias("page_id"), "title")
