@@ -4,15 +4,16 @@ One-permutation hashing with optimal densification gives each distinct set a sig
 A bucket's members are compared with one centre, the member whose buckets hold most documents, which for copies
 of one text is the same in all their buckets: about one edge for each document and not one for each pair. What a
 centre leaves apart is compared again only where size, shared shingles and the distances to the centre allow a
-link; in buckets of more than a million such pairs only with those that also share one of finer bands, which take members of likeness below a
-link's apart, so that a family of unlike pages does not meet all against all. Links are confirmed on full sets, and
-components follow from them.
+link. In buckets of more than a million such pairs members meet by their rarest shingles, of which any two that link
+share one, so that a family of unlike pages does not meet all against all; this finds the same links. Links are
+confirmed on full sets, and components follow from them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +27,14 @@ from lectern.llm.components import components
 
 #: Bands and values in a band. Texts of similarity 0.85 share no band with probability 2e-7, of 0.8 with 3e-5.
 BANDS, ROWS = 26, 5
-#: Pairs of members left apart and others that are compared in a bucket; one with more is split. As the fewer of them are
-#: 1,024 at most, a member meets so many others in a bucket at most, and all pairs grow as the members do.
+#: Pairs of members left apart and others that are compared in a bucket; in one with more, members meet by rare shingles.
+#: As the fewer of them are 1,024 at most, a member meets so many others in a bucket at most, and all pairs grow as the
+#: members do. Results do not depend on it.
 CROWD = 1 << 20
-#: Bands and values in a band that split a bucket. Of sets of similarity 0.6 two in 300 share such a band, of 0.85 (0.8)
-#: all but 0.5 (7) in 100 that share the bucket share one of them, and as they share some 11 (8) buckets, all but 4e-7
-#: (8e-5) meet.
-FINE_BANDS, FINE_ROWS = 24, 10
+#: Bits that select a counter of shingles. Counts only order shingles, so that shared counters change no result.
+COUNTER_BITS = 18
+#: 64-bit words of a set's parities: a bit for the shingles of each of 64 * PARITIES kinds, set if their number is odd.
+PARITIES = 16
 FLUSH = 1_000_000
 EMPTY = np.uint64(1) << np.uint64(63)
 
@@ -204,26 +206,14 @@ def _may_link(n: Column, m: Column, s: Column, t: Column, percent: int) -> Colum
 def _apart(own: DataFrame, items: DataFrame, percent: int, crowd: int) -> DataFrame:
     """(u, v) of members that the centres left apart and others of their buckets in other components, each pair once.
 
-    ``own`` has bucket, node, n, support, component, distance, hub and apart. A bucket of more than ``crowd`` such
-    pairs is split by finer bands.
+    ``own`` has bucket, node, n, support, component, distance, hub and apart. Buckets of more than ``crowd`` such pairs
+    are left to ``_crowded``.
     """
     met = own.filter("node != hub").join(own.filter("apart").select("bucket").distinct(), "bucket", "left_semi")
     sizes = met.groupBy("bucket").agg((F.count("*") * F.count_if("apart")).alias("pairs"))
     met = cut(met.join(sizes, "bucket"))
-
-    def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in list_slices(batches, "items"):
-            sets = [np.asarray(x.values, np.int64).view(np.uint64) for x in batch.column("items")]
-            some = [i for i, x in enumerate(sets) if len(x)]
-            if some:
-                made = signatures([sets[i] for i in some], FINE_BANDS, FINE_ROWS, 31).view(np.int64)
-                yield pa.record_batch([batch.column("key").take(pa.array(some)), pa.array(list(made), pa.list_(pa.int64()))], names=["node", "fine"])
-
     crowded = met.filter(F.col("pairs") > crowd)
-    if not crowded.isEmpty():
-        fine = items.join(crowded.select(F.col("node").alias("key")).distinct(), "key", "left_semi").mapInArrow(finer, "node long, fine array<long>")
-        split = crowded.join(fine.select("node", F.explode("fine").alias("fine")), "node").withColumn("bucket", F.xxhash64("bucket", "fine")).drop("fine")
-        met = cut(met.filter(F.col("pairs") <= crowd).unionByName(split))
+    met = met.filter(F.col("pairs") <= crowd)
     # A pair that shares several keys is met by the first of them only.
     keys = met.groupBy("node").agg(F.sort_array(F.collect_set("bucket")).alias("keys"))
     met = met.join(keys, "node")
@@ -231,7 +221,62 @@ def _apart(own: DataFrame, items: DataFrame, percent: int, crowd: int) -> DataFr
     right = met.select("bucket", F.col("node").alias("v"), "n", "support", "component", "distance", "apart", "keys")
     near = F.col("d_u").isNull() | F.col("distance").isNull() | (F.abs(F.col("d_u") - F.col("distance")) * 100 <= 100 - percent + 1e-6)
     pairs = left.join(right, "bucket").filter((F.col("c_u") != F.col("component")) & (~F.col("apart") | (F.col("u") < F.col("v"))) & near & _may_link(F.col("n_u"), F.col("n"), F.col("s_u"), F.col("support"), percent) & (F.get(F.array_intersect("k_u", "keys"), F.lit(0)) == F.col("bucket")))
-    return pairs.select("u", "v")
+    pairs = pairs.select("u", "v")
+    return pairs if crowded.isEmpty() else pairs.unionByName(_crowded(crowded, items, percent)).distinct()
+
+
+def _crowded(met: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of members that share a bucket in different components, but for some that cannot link.
+
+    Shingles have one order, the rarest first. What two sets share begins with the same shingle in both, and as it is
+    most of either set, that one is among the first of both: those of the smaller (or equal) set that may be missing
+    from one no smaller, and those of the larger that may be missing from any. Each difference of two sets turns one
+    parity, so their parities differ in no more bits than the sets in shingles.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << COUNTER_BITS, np.int64)
+        for batch in list_slices(batches, "items"):
+            counts += np.bincount(_counter(np.asarray(batch.column("items").flatten(), np.int64)), minlength=len(counts))
+        at = np.flatnonzero(counts)
+        yield pa.record_batch([pa.array(at), pa.array(counts[at])], names=["counter", "n"])
+
+    total = items.select("items").mapInArrow(counted, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << COUNTER_BITS, np.int64)
+    counts[np.asarray(total.column("counter"))] = np.asarray(total.column("n"))
+    frequency = items.sparkSession.sparkContext.broadcast(counts)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in list_slices(batches, "items"):
+            firsts, parities = [], []
+            for own in batch.column("items"):
+                own = np.asarray(own.values, np.int64)
+                order = np.lexsort((own, frequency.value[_counter(own)]))
+                firsts.append(own[order[: len(own) * (100 - percent) // 100 + 1]])
+                parities.append(np.packbits((np.bincount(own & (64 * PARITIES - 1), minlength=64 * PARITIES) & 1).astype(bool)).view(np.int64))
+            yield pa.record_batch([batch.column("key"), pc.list_value_length(batch.column("items")).cast(pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(parities, pa.list_(pa.int64()))], names=["node", "n", "firsts", "parities"])
+
+    members = met.groupBy("node", "n").agg(F.max("support").alias("support"), F.min("component").alias("component"), F.max("apart").alias("apart"), F.collect_set("bucket").alias("buckets"))
+    own = items.join(members.select(F.col("node").alias("key")).distinct(), "key", "left_semi").mapInArrow(rarest, "node long, n long, firsts array<long>, parities array<long>")
+    sets = cut(members.join(own, ["node", "n"]))
+    rows = sets.select("node", "n", "component", "apart", F.posexplode("firsts").alias("at", "shingle"))
+    small = rows.filter(F.col("at") * (100 + percent) <= F.col("n") * (100 - percent)).select("shingle", F.col("node").alias("u"), F.col("n").alias("n_u"), F.col("at").alias("at_u"), F.col("component").alias("c_u"), F.col("apart").alias("apart_u"))
+    large = rows.withColumnRenamed("node", "v")
+    share = F.least(F.col("n_u") - F.col("at_u"), F.col("n") - F.col("at"))
+    order = (F.col("n_u") < F.col("n")) | ((F.col("n_u") == F.col("n")) & (F.col("u") < F.col("v")))
+    able = (F.col("c_u") != F.col("component")) & order & (share * (100 + percent) >= (F.col("n_u") + F.col("n")) * percent)
+    # Members that no centre left apart are in their centres' components: they meet those left apart, and not one another.
+    pairs = small.filter("apart_u").join(large, "shingle").filter(able).select("u", "v")
+    pairs = pairs.unionByName(small.filter("NOT apart_u").join(large.filter("apart"), "shingle").filter(able).select("u", "v")).distinct()
+    left = sets.select(F.col("node").alias("u"), F.col("n").alias("n_u"), F.col("support").alias("s_u"), F.col("buckets").alias("b_u"), F.col("parities").alias("p_u"))
+    right = sets.select(F.col("node").alias("v"), "n", "support", "buckets", "parities")
+    turned = reduce(add, (F.bit_count(F.get("p_u", F.lit(i)).bitwiseXOR(F.get("parities", F.lit(i)))) for i in range(PARITIES)))
+    alike = (turned * (100 + percent) <= (F.col("n_u") + F.col("n")) * (100 - percent)) & _may_link(F.col("n_u"), F.col("n"), F.col("s_u"), F.col("support"), percent) & F.arrays_overlap("b_u", "buckets")
+    return pairs.join(left, "u").join(right, "v").filter(alike).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
+
+def _counter(shingles: np.ndarray) -> np.ndarray:
+    return (shingles.view(np.uint64) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
 
 
 def _measured(edges: DataFrame, items: DataFrame) -> DataFrame:

@@ -117,6 +117,39 @@ def test_near_dedup_unlike_family(spark, monkeypatch):
     assert shares[2] < 50 and shares[2] < shares[0] * 2, shares  # all pairs would be 200, four times those of 100 pages
 
 
+def test_near_dedup_crowded_bucket(spark):
+    """Pairs of one bucket just above the bound, of equal and of unlike sizes, are all compared, however crowded it is."""
+    rng = np.random.default_rng(1)
+    sets, pairs = [], set()
+    for i in range(150):
+        own = rng.integers(-(2**63), 2**63 - 1, 130).tolist()
+        pairs.add((len(sets), len(sets) + 1))
+        sets += [own[:100], own[11:111]] if i % 2 else [own[:100], own[20:100]]
+    items = spark.createDataFrame(list(enumerate(sets)), "key long, items array<long>")
+    rows = [(7, k, len(s), len(s), k, None, -1, True) for k, s in enumerate(sets)]
+    own = spark.createDataFrame(rows, "bucket long, node long, n long, support long, component long, distance double, hub long, apart boolean")
+    for crowd in (0, near_dedup.CROWD):
+        found = [tuple(r) for r in near_dedup._apart(own, items, 80, crowd).collect()]
+        assert len(found) == len(set(found)) and not pairs - set(found), (crowd, len(pairs - set(found)))
+
+
+def test_near_dedup_crowded_buckets_change_nothing(spark):
+    """Components are the same whether all buckets with members left apart count as crowded or none."""
+    rng = random.Random(4)
+    template = [f"t{i}" for i in range(90)]
+    own = []
+    for i in range(300):
+        page = list(template)
+        for _ in range(rng.randrange(2, 7)):
+            page[rng.randrange(len(page))] = f"x{rng.randrange(60)}"
+        own.append((i, " ".join(page[: rng.randrange(70, 91)])))
+    own += [(None, own[7][1]), (3, own[200][1]), (400, None), (401, "a b")]
+    df = spark.createDataFrame(own, "doc_id long, text string")
+    columns = ("doc_id", "n_shingles", "component_id", "kept")
+    for percent in (60, 75):
+        assert collected(near_dedup.near_duplicates(df, percent, crowd=0), *columns) == collected(near_dedup.near_duplicates(df, percent), *columns)
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(30)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
