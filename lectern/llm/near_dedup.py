@@ -97,8 +97,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, crowd: i
 
     A text of fewer than ``width`` words is one shingle; without words, or null, its set is empty and it links
     with nothing. Documents with equal sets are one node of the graph, however many they are. A null id counts
-    as the smallest, and a component that it heads has a null component_id. Rows that share an id are one node.
-    An empty table gives an empty result.
+    as the smallest, and a component that it heads has a null component_id. Rows that share an id are one node, which
+    links as any of their texts does; those of them without words are left with their own id. An empty table gives an
+    empty result. Whatever ``crowd`` is, the same texts are linked.
     """
     spark = docs.sparkSession
     rows = docs.select(id_key().alias("key"), F.col("text").cast("string").alias("text"))
@@ -136,7 +137,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, crowd: i
                 sets = [s.view(np.int64) for s in shingle_sets(raw(part.column("text")), hashes, width)]
                 yield pa.record_batch([part.column("key"), pa.array(sets, pa.list_(pa.int64()))], names=["key", "items"])
 
-    items = cut(rows.mapInArrow(sets_of, "key long, items array<long>"))
+    # A row without words may share its id with one that has some; its empty set is like no other.
+    items = cut(rows.mapInArrow(sets_of, "key long, items array<long>").filter(F.size("items") > 0))
 
     # How many shingles of a set are in another set, too: what two documents share is no more than that.
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,13 +166,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, crowd: i
     # A set whose shingles are nearly all its own links with nothing.
     member = member.join(support, "node").filter(F.col("support") * 100 >= F.col("n") * percent)
     score = member.groupBy("node").agg(F.sum("size").alias("score"))
-    member = cut(member.join(score, "node").select("node", "n", "support", "bucket", F.struct(F.col("score"), F.bitwise_not("node").alias("order"), F.col("node").alias("node"), F.col("n").alias("n"), F.col("support").alias("support")).alias("rank")))
+    member = cut(member.join(score, "node").select("node", "n", "support", "bucket", F.struct(F.col("score"), F.bitwise_not("node").alias("order"), F.col("node").alias("node"), (-F.col("n")).alias("less"), F.col("support").alias("support")).alias("rank")))
+    # Of several sets of the centre's in its bucket the least counts, as it may link with all that the others may.
     centre = member.groupBy("bucket").agg(F.max("rank").alias("centre"))
-    starred = member.join(centre, "bucket").select("bucket", "node", "n", "support", F.col("centre.node").alias("hub"), F.col("centre.n").alias("hub_n"), F.col("centre.support").alias("hub_support"))
+    starred = member.join(centre, "bucket").select("bucket", "node", "n", "support", F.col("centre.node").alias("hub"), (-F.col("centre.less")).alias("hub_n"), F.col("centre.support").alias("hub_support"))
 
     first = starred.filter("node != hub").filter(_may_link(F.col("n"), F.col("hub_n"), F.col("support"), F.col("hub_support"), percent)).select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
     measured = cut(_measured(first, items))
     links = measured.filter(_similar(percent)).select("u", "v")
+    # Cut off, so that the class of a text that is everywhere is joined by two plain shuffles and split.
+    known = cut(classes.select("high", "low", "node"))
+    # An id of several sets links the classes that hold them.
+    several = cut(nodes.filter("n > 0").groupBy("key").agg(F.min("high").alias("a"), F.max("high").alias("b"), F.min("low").alias("c"), F.max("low").alias("d")).filter("a < b OR c < d").select("key"))
+    if not several.isEmpty():
+        links = links.unionByName(nodes.filter("n > 0").join(several, "key").join(known, ["high", "low"]).select(F.col("key").alias("u"), F.col("node").alias("v")).distinct())
     linked = cut(components(links))
     # Members that the centre left apart, against all of their bucket in other components. The distance 1 - similarity
     # is a metric, so two that link are about as far from their centre as each other.
@@ -185,8 +194,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, crowd: i
     more = cut(more)
     if not more.isEmpty():
         linked = cut(components(links.unionByName(more)))
-    # Cut off, so that the class of a text that is everywhere is joined by two plain shuffles and split.
-    answer = nodes.join(cut(classes.select("high", "low", "node")), ["high", "low"], "left").join(linked, "node", "left")
+    answer = nodes.join(known, ["high", "low"], "left").join(linked, "node", "left")
     component = F.when(F.col("n") == 0, F.col("key")).otherwise(F.coalesce("component", "node"))
     least = F.lit(-(2**63))
     return answer.select(
@@ -214,9 +222,10 @@ def _apart(own: DataFrame, items: DataFrame, percent: int, crowd: int) -> DataFr
     met = cut(met.join(sizes, "bucket"))
     crowded = met.filter(F.col("pairs") > crowd)
     met = met.filter(F.col("pairs") <= crowd)
-    # A pair that shares several keys is met by the first of them only.
-    keys = met.groupBy("node").agg(F.sort_array(F.collect_set("bucket")).alias("keys"))
-    met = met.join(keys, "node")
+    # A pair that shares several keys is met by the first of them only, so that a node of several sets, which may be in
+    # different buckets, stands in each for all of them: the least may link with all that the others may.
+    keys = met.groupBy("node").agg(F.sort_array(F.collect_set("bucket")).alias("keys"), F.min("n").alias("n"))
+    met = met.drop("n").join(keys, "node")
     left = met.filter("apart").select("bucket", F.col("node").alias("u"), F.col("n").alias("n_u"), F.col("support").alias("s_u"), F.col("component").alias("c_u"), F.col("distance").alias("d_u"), F.col("keys").alias("k_u"))
     right = met.select("bucket", F.col("node").alias("v"), "n", "support", "component", "distance", "apart", "keys")
     near = F.col("d_u").isNull() | F.col("distance").isNull() | (F.abs(F.col("d_u") - F.col("distance")) * 100 <= 100 - percent + 1e-6)
@@ -256,9 +265,9 @@ def _crowded(met: DataFrame, items: DataFrame, percent: int) -> DataFrame:
                 parities.append(np.packbits((np.bincount(own & (64 * PARITIES - 1), minlength=64 * PARITIES) & 1).astype(bool)).view(np.int64))
             yield pa.record_batch([batch.column("key"), pc.list_value_length(batch.column("items")).cast(pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(parities, pa.list_(pa.int64()))], names=["node", "n", "firsts", "parities"])
 
-    members = met.groupBy("node", "n").agg(F.max("support").alias("support"), F.min("component").alias("component"), F.max("apart").alias("apart"), F.collect_set("bucket").alias("buckets"))
+    members = met.groupBy("node").agg(F.max("support").alias("support"), F.min("component").alias("component"), F.max("apart").alias("apart"), F.collect_set("bucket").alias("buckets"))
     own = items.join(members.select(F.col("node").alias("key")).distinct(), "key", "left_semi").mapInArrow(rarest, "node long, n long, firsts array<long>, parities array<long>")
-    sets = cut(members.join(own, ["node", "n"]))
+    sets = cut(members.join(own, "node"))
     rows = sets.select("node", "n", "component", "apart", F.posexplode("firsts").alias("at", "shingle"))
     small = rows.filter(F.col("at") * (100 + percent) <= F.col("n") * (100 - percent)).select("shingle", F.col("node").alias("u"), F.col("n").alias("n_u"), F.col("at").alias("at_u"), F.col("component").alias("c_u"), F.col("apart").alias("apart_u"))
     large = rows.withColumnRenamed("node", "v")

@@ -150,6 +150,27 @@ def test_near_dedup_crowded_buckets_change_nothing(spark):
         assert collected(near_dedup.near_duplicates(df, percent, crowd=0), *columns) == collected(near_dedup.near_duplicates(df, percent), *columns)
 
 
+def test_near_dedup_crowded_buckets_of_several_sets(spark):
+    """An id of two texts meets by each of them, also where its other one shares an earlier bucket, crowded or not."""
+    sets = {1: [range(100), range(500, 700)], 2: [range(5, 105)], 3: [range(510, 700)]}
+    items = spark.createDataFrame([(k, list(own)) for k, two in sets.items() for own in two], "key long, items array<long>")
+    rows = [(bucket, k, n, {1: 200, 2: 100, 3: 190}[k], k, None, -1, True) for bucket, k, n in ((5, 1, 200), (7, 1, 100), (5, 2, 100), (7, 2, 100), (9, 1, 100), (11, 1, 200), (9, 3, 190), (11, 3, 190))]
+    own = spark.createDataFrame(rows, "bucket long, node long, n long, support long, component long, distance double, hub long, apart boolean")
+    for crowd in (0, near_dedup.CROWD):
+        assert {(1, 2), (1, 3)} <= {tuple(r) for r in near_dedup._apart(own, items, 80, crowd).collect()}, crowd
+
+
+def test_near_dedup_shared_ids(spark):
+    """Rows that share an id are one node: it links as any of its texts does, and empty texts are not alike."""
+    text = {c: " ".join(f"{c}{i}" for i in range(60)) for c in "abcd"}
+    own = [(5, text["a"]), (5, text["b"]), (3, text["a"]), (4, text["b"] + " x"), (6, text["c"]), (6, None), (7, text["c"] + " x"), (7, ""), (8, text["d"]), (8, " "), (None, ""), (None, text["d"] + " x")]
+    component = {5: 3, 3: 3, 4: 3, 6: 6, 7: 6, 8: None, None: None}
+    expected = sorted(((d, component[d] if t and t.strip() else d) for d, t in own), key=repr)
+    for crowd in (0, near_dedup.CROWD):
+        found = near_dedup.near_duplicates(spark.createDataFrame(own, "doc_id long, text string"), crowd=crowd)
+        assert collected(found, "doc_id", "component_id") == expected, crowd
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(30)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]

@@ -76,6 +76,14 @@ def test_pipeline_crowded_family(spark, sf):
     assert left == set(range(0, 4000, 2)), (len(left), sorted(left ^ set(range(0, 4000, 2)))[:10])
 
 
+def test_pipeline_near_dedup_shared_ids(spark, sf):
+    """What is like different texts of one id goes with it: all are one group, of which the smallest id stays."""
+    text = {c: " ".join(f"{c}{i}" for i in range(60)) for c in "abc"}
+    own = [(5, text["a"]), (5, text["b"]), (3, text["a"]), (4, text["b"]), (6, text["c"]), (6, None), (7, text["c"] + " x"), (7, "")]
+    docs = spark.createDataFrame([(d, t, None, None, 1) for d, t in own], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, sf).collect()) == [3, 6, 6]
+
+
 def test_pipeline_runs(spark, sf):
     found = corpus_pipeline.run(spark, sf)
     assert found.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and found.count() > 0
