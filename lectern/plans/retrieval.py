@@ -127,7 +127,7 @@ def bm25_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = part.select(F.col("p_partkey").alias("section_id"), F.col("p_name").alias("heading_title"), F.col("p_type").alias("heading_path"), F.col("p_brand").alias("content"))
     asked = part.select(F.col("p_partkey").alias("query_id"), F.posexplode(F.split(F.concat_ws(" ", "p_name", "p_brand"), " ")).alias("term_id", "term"))
     asked = asked.select("query_id", "term_id", "term", X.tokens(F.col("term")).alias("tokens"), F.lit(True).alias("identifier"))
-    return K.with_ties(K.bm25(K.Lexicon.of(own), asked), 5).select("query_id", "section_id", "score")
+    return K.best_alike(own, asked, 5)
 
 
 @query(r"""WITH hits AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
