@@ -27,7 +27,7 @@ FIELD_WEIGHTS = {"heading_title": 5.0, "heading_path": 3.0, "content": 1.0}
 BM25_K1, BM25_B, IDF_FLOOR = 1.2, 0.75, 1e-6
 
 # Fixed values of parsing.
-MAX_SECTION_CHARS, MAX_UNIT_CHARS, MAX_UNITS = 3200, 600, 64
+MAX_SECTION_CHARS, MAX_UNIT_CHARS = 3200, 600
 PREVIEW_CHARS = 100
 PATH_SEPARATOR = " > "
 PREAMBLE_TITLE = "[Overview / Preamble]"

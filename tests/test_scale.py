@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
+from lectern.markdown.document import passages
 from lectern.operators import keyword as K
 from lectern.plans.registry import QUERIES
 
@@ -25,3 +26,7 @@ def test_alike_queries_and_sections_are_ranked_once(spark, sf, tmp_path, monkeyp
     asked = three.select(F.col("p_partkey").alias("query_id"), F.posexplode(F.split(F.concat_ws(" ", "p_name", "p_brand"), " ")).alias("term_id", "term")).withColumn("tokens", X.tokens(F.col("term"))).withColumn("identifier", F.lit(True))
     wanted = K.with_ties(plain(K.Lexicon.of(own), asked), 5).select("query_id", "section_id", "score")
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect()))
+
+
+def test_no_passage_is_dropped():
+    assert [p.text for p in passages("\n".join(f"- item {i}" for i in range(200)))] == [f"item {i}" for i in range(200)]
