@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.text import is_excluded, is_pruned, walk_key
-from lectern.schema import MAX_FILE_BYTES, PRUNED, SUFFIXES
+from lectern.schema import MAX_FILE_BYTES, MAX_SECTION_CHARS, PRUNED, SUFFIXES
 
 LOG = logging.getLogger(__name__)
 FILE = "path string, modificationTime timestamp, length long, content binary"
@@ -152,10 +152,10 @@ def why_left_out(spark: SparkSession, root: str, name: str, exclude: list[str],
     return next((reason for holds, reason in reasons if holds), "not indexed yet")
 
 
-def parsed(documents: DataFrame) -> DataFrame:
+def parsed(documents: DataFrame, most: int | None = MAX_SECTION_CHARS) -> DataFrame:
     """(doc_id, file_path, title, error, sections) of (doc_id, file_path, text): the kernel, a document at a time.
 
-    A document that fails to parse has its error and no sections, and does not stop others. A null text is an empty
+    Sections of more than ``most`` characters are in parts; without it, all are whole. A document that fails to parse has its error and no sections, and does not stop others. A null text is an empty
     document.
     """
 
@@ -167,7 +167,7 @@ def parsed(documents: DataFrame) -> DataFrame:
             for doc_id, path, text in zip(frame["doc_id"], frame["file_path"], frame["text"], strict=True):
                 stem = (path or "Untitled").rpartition("/")[2].rpartition(".")[0] or "Untitled"
                 try:
-                    made = parse(text or "", stem)
+                    made = parse(text or "", stem, most)
                     sections = [(*astuple(s)[:8], [(p.text, *(p.lines or (None, None)), p.table, *(p.listing or (None, None))) for p in s.passages]) for s in made.sections]
                     out.append((doc_id, path, made.title, None, sections))
                 except Exception as error:  # one bad file is that file's failure

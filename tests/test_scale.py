@@ -1,11 +1,13 @@
 """Steps whose work must not grow faster than their tables, and results that no cap may shorten."""
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.markdown.document import passages
 from lectern.operators import keyword as K
-from lectern.plans.registry import QUERIES
+from lectern.plans.registry import ORACLE_SQL, QUERIES
 
 
 def test_alike_queries_and_sections_are_ranked_once(spark, sf, tmp_path, monkeypatch):
@@ -30,3 +32,27 @@ def test_alike_queries_and_sections_are_ranked_once(spark, sf, tmp_path, monkeyp
 
 def test_no_passage_is_dropped():
     assert [p.text for p in passages("\n".join(f"- item {i}" for i in range(200)))] == [f"item {i}" for i in range(200)]
+
+
+@pytest.fixture(scope="module")
+def long_sections(spark, tmp_path_factory):
+    """Sections of 150 list items for each nation: beyond the kernel's parts."""
+    folder = str(tmp_path_factory.mktemp("long"))
+    for name in ("region", "nation"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+    spark.range(25 * 150).selectExpr("id AS s_suppkey", "format_string('Supplier#%09d', id) AS s_name", "CAST(id % 25 AS INT) AS s_nationkey", "CAST(id AS DOUBLE) / 4 AS s_acctbal").write.parquet(f"{folder}/supplier.parquet")
+    return folder
+
+
+def same_as_sql(spark, folder, name, tables):
+    con = duckdb.connect()
+    for t in tables:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet/*.parquet')")
+    found = QUERIES[name](spark, folder)
+    told = con.sql(ORACLE_SQL[name])
+    columns = ", ".join(f'"{c}"' for c in found.columns)
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(told.project(columns).fetchall(), key=repr)
+
+
+def test_long_sections_are_whole(spark, long_sections):
+    same_as_sql(spark, long_sections, "markdown_ingest", ("region", "nation", "supplier"))
