@@ -64,15 +64,29 @@ def binomial_tail(wins: int, losses: int, two_sided: bool) -> float:
 
 
 def tail_column(wins: Column, losses: Column, two_sided: bool) -> Column:
-    """``binomial_tail`` as a column, by sums of logarithms; for counts of a few thousand."""
+    """``binomial_tail`` as a column, in steps as many as there are outcomes.
+
+    The chance of the middle term is a product of factors below 1, so its logarithm is a sum without cancellation; each
+    further term is the one before by a ratio.
+    """
     n = wins + losses
+    most = F.least(wins, losses) if two_sided else F.when(wins >= losses, losses).otherwise(wins - 1)
+
+    def upto(k: Column) -> Column:
+        return F.when(k > 0, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>"))
 
-    def log_comb(k: Column) -> Column:
-        return F.aggregate(F.when(k > 0, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda a, i: a + F.ln((n - k + i) / i))
+    even = F.aggregate(upto(most), F.lit(0.0), lambda a, i: a + F.log1p(-1.0 / (2.0 * i)))
+    middle = F.aggregate(upto(n - 2 * most), even, lambda a, i: a + F.log1p(-1.0 * i / (2.0 * (most + i))))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
 
-    ks = F.sequence(F.lit(0), F.least(wins, losses)) if two_sided else F.sequence(wins, n)
-    total = F.aggregate(F.transform(ks, lambda k: F.exp(log_comb(k) - n * F.ln(F.lit(2.0)))), F.lit(0.0), lambda a, x: a + x)
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), total * (2 if two_sided else 1)))
+    def further(a: Column, i: Column) -> Column:
+        term = a["term"] * (most - i + 1) / (n - most + i)
+        return F.struct(term.alias("term"), (a["total"] + term).alias("total"))
+
+    tail = F.exp(middle) * F.aggregate(upto(most), start, further, lambda a: a["total"])
+    if two_sided:
+        return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
+    return F.when(wins == 0, 1.0).when(wins >= losses, tail).otherwise(1 - tail)
 
 
 def wilson_bounds(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:

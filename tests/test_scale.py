@@ -1,5 +1,7 @@
 """Steps whose work must not grow faster than their tables, and results that no cap may shorten."""
 
+import math
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as X
 from lectern.markdown.document import passages
 from lectern.operators import keyword as K
+from lectern.operators.evaluate import tail_column
 from lectern.plans.registry import ORACLE_SQL, QUERIES
 
 
@@ -60,3 +63,22 @@ def test_long_sections_are_whole(spark, long_sections):
 
 def test_fingerprints_are_of_whole_sections(spark, long_sections):
     same_as_sql(spark, long_sections, "parse_fingerprint", ("region", "nation", "supplier"))
+
+
+def test_tails_of_many_outcomes(spark):
+    pairs = [(0, 0), (0, 1), (1, 0), (0, 9), (9, 0), (5, 5), (4, 7), (7, 4), (30_000, 30_000), (29_800, 30_150), (30_150, 29_800), (10, 40_000), (40_000, 10)]
+    rows = spark.createDataFrame(pairs, "w int, l int")
+    for two in (True, False):
+        found = rows.select("w", "l", tail_column(F.col("w"), F.col("l"), two).alias("p")).collect()
+        for w, losses, p in found:
+            assert math.isclose(p, exact_tail(w, losses, two), abs_tol=1e-10), (w, losses, two)
+
+
+def exact_tail(wins, losses, two):
+    n, (lo, hi) = wins + losses, (0, min(wins, losses)) if two else (wins, wins + losses)
+    term = math.comb(n, lo)
+    total = term
+    for k in range(lo, hi):
+        term = term * (n - k) // (k + 1)
+        total += term
+    return 1.0 if n == 0 else min(1.0, (2 if two else 1) * (total * 10**18 // 2**n) / 1e18)
