@@ -82,3 +82,11 @@ def exact_tail(wins, losses, two):
         term = term * (n - k) // (k + 1)
         total += term
     return 1.0 if n == 0 else min(1.0, (2 if two else 1) * (total * 10**18 // 2**n) / 1e18)
+
+
+def test_millions_of_outcomes(spark):
+    """The old column took steps as the square of the wins : 10^12 of them here."""
+    n = 2_000_000
+    row = spark.createDataFrame([(n // 2, n // 2)], "w int, l int")
+    two, one = row.select(tail_column(F.col("w"), F.col("l"), True), tail_column(F.col("w"), F.col("l"), False)).first()
+    assert two == 1.0 and math.isclose(one, 0.5 + 0.5 / math.sqrt(math.pi * n / 2) * (1 - 1 / (4 * n)), abs_tol=1e-10)
