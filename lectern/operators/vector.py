@@ -31,13 +31,15 @@ def hashed_embeddings(texts: DataFrame, dim: int = 64) -> DataFrame:
 
 #: Query vectors go to all tasks as one matrix of so many bytes at most; a larger batch is joined instead.
 MOST_SENT = 32 << 20
+#: Distances that a task holds at once, whatever the number of queries: 8 MB of them.
+MOST_MEASURED = 1 << 20
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """(query_id, owner_id, distance, rank) of the ``k`` nearest (owner_id, embedding) of each (query_id, embedding), ties whole.
 
-    An exact scan: a task measures a batch of vectors against all queries by one product of matrices and keeps each
-    query's ``k`` best of the batch, with ties, before anything is shuffled. Vectors that are not usable, or not of the
+    An exact scan: a task measures a batch of vectors against all queries by products of matrices, some queries at a
+    time, and keeps each query's ``k`` best of the batch, with ties, before anything is shuffled. Vectors that are not usable, or not of the
     queries' width, are left out. A filter of the scope belongs on ``vectors``, before ranks are taken.
     """
     asked = queries.select("query_id", "embedding")
@@ -55,21 +57,27 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) ->
 def _measured(vectors: DataFrame, sent: pa.Table, k: int, digits: int) -> DataFrame:
     """Distances of each batch's best vectors to the queries that were ``sent``."""
     ids = sent["query_id"].combine_chunks()
+    most = MOST_MEASURED
     wanted = np.asarray(sent["embedding"].combine_chunks().flatten(), np.float64).reshape(len(ids), -1)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.linalg.norm(wanted, axis=1)
+        bounds = np.full((len(wanted), 1), np.inf)  # k vectors of this task are no farther than that from each query
         for batch in batches:
-            for part in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)):
+            for part in (batch.slice(i, 16384) for i in range(0, batch.num_rows, 16384)):
                 own = np.asarray(part.column("embedding").flatten(), np.float64).reshape(part.num_rows, -1)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    distance = np.round(1 - wanted @ own.T / np.outer(sizes, np.linalg.norm(own, axis=1)), digits) + 0.0
-                if part.num_rows > k:
-                    worst = np.partition(distance, k - 1, axis=1)[:, k - 1 : k]
-                    query, at = np.nonzero(distance <= worst)
-                else:
-                    query, at = np.nonzero(np.isfinite(distance))
-                yield pa.record_batch([ids.take(pa.array(query)), part.column("owner_id").take(pa.array(at)), pa.array(distance[query, at])], names=["query_id", "owner_id", "distance"])
+                lengths = np.linalg.norm(own, axis=1)
+                step = max(1, most // part.num_rows)
+                for lo in range(0, len(wanted), step):
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        distance = np.round(1 - wanted[lo : lo + step] @ own.T / np.outer(sizes[lo : lo + step], lengths), digits) + 0.0
+                    if part.num_rows > k:
+                        worst = np.minimum(np.partition(distance, k - 1, axis=1)[:, k - 1 : k], bounds[lo : lo + step])
+                        bounds[lo : lo + step] = worst
+                        query, at = np.nonzero(distance <= worst)
+                    else:
+                        query, at = np.nonzero(np.isfinite(distance))
+                    yield pa.record_batch([ids.take(pa.array(query + lo)), part.column("owner_id").take(pa.array(at)), pa.array(distance[query, at])], names=["query_id", "owner_id", "distance"])
 
     owner = vectors.schema["owner_id"].dataType.simpleString()
     kind = "string" if pa.types.is_string(ids.type) else "int" if ids.type == pa.int32() else "bigint"

@@ -3,12 +3,14 @@
 import math
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.markdown.document import passages
 from lectern.operators import keyword as K
+from lectern.operators import vector as N
 from lectern.operators.evaluate import tail_column
 from lectern.plans.registry import ORACLE_SQL, QUERIES
 
@@ -90,3 +92,18 @@ def test_millions_of_outcomes(spark):
     row = spark.createDataFrame([(n // 2, n // 2)], "w int, l int")
     two, one = row.select(tail_column(F.col("w"), F.col("l"), True), tail_column(F.col("w"), F.col("l"), False)).first()
     assert two == 1.0 and math.isclose(one, 0.5 + 0.5 / math.sqrt(math.pi * n / 2) * (1 - 1 / (4 * n)), abs_tol=1e-10)
+
+
+def test_nearest_measures_some_queries_at_a_time(spark, sf, monkeypatch):
+    own = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("owner_id"), "embedding").filter("owner_id < 60")
+    own = own.unionByName(own.withColumn("owner_id", F.col("owner_id") + 1000)).coalesce(1)  # ties everywhere
+    asked = own.withColumnRenamed("owner_id", "query_id")
+    monkeypatch.setattr(N, "MOST_MEASURED", 500)
+    found = N.nearest(own, asked, 3)
+    rows = {r["owner_id"]: np.array(r["embedding"], float) for r in own.collect()}
+    wanted = set()
+    for q, a in rows.items():
+        distances = {o: round(1 - float(a @ b) / float(np.linalg.norm(a) * np.linalg.norm(b)), 6) + 0.0 for o, b in rows.items()}
+        worst = sorted(distances.values())[2]
+        wanted |= {(q, o) for o, d in distances.items() if d <= worst}
+    assert {(r["query_id"], r["owner_id"]) for r in found.collect()} == wanted
