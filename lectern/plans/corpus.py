@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from lectern.operators import keyword, vector
 from lectern.session import shared_folder
 
-_INDEXES: dict[tuple[str, str], str] = {}
+_INDEXES: dict[tuple[str, str, str], str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,27 +32,24 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _index(spark: SparkSession, sf_dir: str) -> str:
-    """Where the index of a folder's sections is: written once for each application, in the shared folder, and read by its queries."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def _indexed(spark: SparkSession, sf_dir: str, part: str, made: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A part of the index of a folder's sections: written when it is first read, once for each application, in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, part)
     if key not in _INDEXES:
-        place, own = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", sections(spark, sf_dir)
-        keyword.stored_order(keyword.postings(own)).write.parquet(f"{place}/postings")
-        keyword.lengths(own).write.parquet(f"{place}/lengths")
-        vector.hashed_embeddings(own.select(F.col("section_id").alias("owner_id"), F.col("content").alias("text"))).write.parquet(f"{place}/vectors")
+        place = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}/{part}"
+        made(sections(spark, sf_dir)).write.parquet(place)
         _INDEXES[key] = place
-    return _INDEXES[key]
+    return spark.read.parquet(_INDEXES[key])
 
 
 def lexicon(spark: SparkSession, sf_dir: str) -> keyword.Lexicon:
     """The inverted index of a folder's sections."""
-    place = _index(spark, sf_dir)
-    return keyword.Lexicon(spark.read.parquet(f"{place}/postings"), spark.read.parquet(f"{place}/lengths"))
+    return keyword.Lexicon(_indexed(spark, sf_dir, "postings", lambda own: keyword.stored_order(keyword.postings(own))), _indexed(spark, sf_dir, "lengths", keyword.lengths))
 
 
 def section_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(owner_id, embedding) of a folder's sections, from its index."""
-    return spark.read.parquet(f"{_index(spark, sf_dir)}/vectors")
+    return _indexed(spark, sf_dir, "vectors", lambda own: vector.hashed_embeddings(own.select(F.col("section_id").alias("owner_id"), F.col("content").alias("text"))))
 
 
 #: The same in DuckDB.

@@ -107,3 +107,17 @@ def test_nearest_measures_some_queries_at_a_time(spark, sf, monkeypatch):
         worst = sorted(distances.values())[2]
         wanted |= {(q, o) for o, d in distances.items() if d <= worst}
     assert {(r["query_id"], r["owner_id"]) for r in found.collect()} == wanted
+
+
+@pytest.mark.parametrize("name", ["bm25_topk"])
+def test_keyword_queries_make_no_vectors(spark, sf, name, monkeypatch):
+    def none(*_):
+        raise AssertionError("vectors are not asked for")
+
+    monkeypatch.setattr(N, "hashed_embeddings", none)
+    assert QUERIES[name](spark, f"{sf}/../{sf.rsplit('/', 1)[1]}").columns  # a folder without an index so far
+
+
+def test_postings_are_not_shuffled(spark):
+    rows = spark.createDataFrame([("b", 1, "content", 0), ("a", 2, "content", 0)], "term string, section_id long, field string, position int")
+    assert "Exchange" not in K.stored_order(rows)._jdf.queryExecution().executedPlan().toString()
