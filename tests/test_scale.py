@@ -109,7 +109,7 @@ def test_nearest_measures_some_queries_at_a_time(spark, sf, monkeypatch):
     assert {(r["query_id"], r["owner_id"]) for r in found.collect()} == wanted
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "scoped_bm25"])
+@pytest.mark.parametrize("name", ["bm25_topk", "scoped_bm25", "idf_gate"])
 def test_keyword_queries_make_no_vectors(spark, sf, name, monkeypatch):
     def none(*_):
         raise AssertionError("vectors are not asked for")
