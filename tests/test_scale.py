@@ -121,3 +121,9 @@ def test_keyword_queries_make_no_vectors(spark, sf, name, monkeypatch):
 def test_postings_are_not_shuffled(spark):
     rows = spark.createDataFrame([("b", 1, "content", 0), ("a", 2, "content", 0)], "term string, section_id long, field string, position int")
     assert "Exchange" not in K.stored_order(rows)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_probe_is_the_same_by_few_distances_at_a_time(spark, sf, monkeypatch):
+    whole = sorted(map(tuple, QUERIES["self_probe"](spark, sf).collect()))
+    monkeypatch.setattr(N, "MOST_MEASURED", 300)
+    assert whole and sorted(map(tuple, QUERIES["self_probe"](spark, sf).collect())) == whole
