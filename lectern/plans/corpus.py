@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from lectern.operators import keyword, vector
 from lectern.session import shared_folder
 
+#: About so many postings a task sorts as they are written: some 150 MB of rows.
+SORTED = 2_000_000
 _INDEXES: dict[tuple[str, str, str], str] = {}
 
 
@@ -43,8 +45,14 @@ def _indexed(spark: SparkSession, sf_dir: str, part: str, made: Callable[[DataFr
 
 
 def lexicon(spark: SparkSession, sf_dir: str) -> keyword.Lexicon:
-    """The inverted index of a folder's sections."""
-    return keyword.Lexicon(_indexed(spark, sf_dir, "postings", lambda own: keyword.stored_order(keyword.postings(own))), _indexed(spark, sf_dir, "lengths", keyword.lengths))
+    """The inverted index of a folder's sections. Texts are dealt to as many tasks as keep what each sorts in memory."""
+    lengths = _indexed(spark, sf_dir, "lengths", keyword.lengths)
+
+    def made(own: DataFrame) -> DataFrame:
+        tasks = (lengths.agg(F.sum("length")).first()[0] or 0) // SORTED + 1
+        return keyword.stored_order(keyword.postings(own.repartition(tasks, "section_id")))
+
+    return keyword.Lexicon(_indexed(spark, sf_dir, "postings", made), lengths)
 
 
 def section_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,3 +127,11 @@ def test_probe_is_the_same_by_few_distances_at_a_time(spark, sf, monkeypatch):
     whole = sorted(map(tuple, QUERIES["self_probe"](spark, sf).collect()))
     monkeypatch.setattr(N, "MOST_MEASURED", 300)
     assert whole and sorted(map(tuple, QUERIES["self_probe"](spark, sf).collect())) == whole
+
+
+def test_postings_are_sorted_in_as_many_tasks_as_they_fill(spark, sf, monkeypatch):
+    from lectern.plans import corpus
+
+    monkeypatch.setattr(corpus, "SORTED", 10_000)
+    found = corpus.lexicon(spark, f"{sf}/../../testdata/{sf.rsplit('/', 1)[1]}").postings
+    assert len(found.inputFiles()) > found.count() // 20_000
